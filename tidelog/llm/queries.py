@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.decontamination import contamination
 from tidelog.llm.sentencepiece import piece_tokens
+from tidelog.llm.url_filter import RULES, SOFT, SOFT_DISTINCT, STRICT, url_verdicts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +19,27 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(read(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read(spark, sf_dir, "pages")).drop("strict_terms", "soft_terms")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "starts", "ends")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
-ORACLE: dict[str, str] = {}
+def _op8_sql() -> str:
+    """Hosts, paths and rules by patterns; terms by a search for each, between boundaries."""
+    hit = " + ".join("CASE WHEN regexp_matches(s, '(^|[^a-z0-9]){}([^a-z0-9]|$)') THEN {} ELSE 0 END".format(t, w) for w, terms in ((SOFT_DISTINCT, STRICT), (1, [t for t in SOFT if t not in STRICT])) for t in terms)
+    by_length = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    rule, action = (" ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{then}'" for h, p, then in kind) for kind in ([(h, p, h + p) for _, h, p in by_length], [(h, p, a) for a, h, p in by_length]))
+    return f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    v AS (SELECT *, host || lower(path) AS s FROM u)
+    SELECT page_id, host, path, CASE {rule} END AS rule, CASE {action} WHEN {hit} >= {SOFT_DISTINCT} THEN 'block' ELSE 'allow' END AS verdict FROM v"""
+
+
+ORACLE: dict[str, str] = {"op8_url_filter": _op8_sql()}
