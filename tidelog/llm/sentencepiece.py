@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from tidelog.llm.common import texts
 
 MARK = "▁"
-MEMO = 150_000
+MEMO = 400_000
+_TAIL = re.compile(rb"[!-/:-@\[-`{-~\n]+$")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -77,7 +78,8 @@ class PieceCodec:
         trainer, normal = dict(_fields(message[2])), dict(_fields(message[3]))
         if trainer.get(3) != 2 or normal.get(2) or normal.get(4, 1) or not normal.get(5, 1) or not trainer.get(35):
             raise ValueError("only merge-type models with identity normalisation and byte fallback are supported")
-        self.prefix = bool(normal.get(3, 1))
+        if not normal.get(3, 1):
+            raise ValueError("models without a blank before the text are not supported")
         size = model.get_piece_size()
         if any(model.is_unused(i) for i in range(size)):
             raise ValueError("models with unused pieces are not supported")
@@ -98,8 +100,9 @@ class PieceCodec:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in known), "") for p in known}
         self.known = re.compile("[" + re.escape("".join(sorted(self.chars))) + "]+|.", re.DOTALL)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.csv = _Memo(self._csv)
-        self.back = _Memo(self._back)
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.memo = _Memo(self._both)
+        self.tails = _Memo(self._tail)
 
     def merged(self, text: str) -> list[str]:
         """Merging by the definition: again and again the best-scored neighbours, the leftmost on ties."""
@@ -165,40 +168,43 @@ class PieceCodec:
                 ids += [self.byte_ids[b] for b in run.encode()]
         return ids
 
-    def _csv(self, word: bytes) -> bytes:
-        return ",".join(map(str, self.word(word.decode().replace(" ", MARK)))).encode()
+    def _both(self, key: bytes) -> tuple[bytes, bytes]:
+        """Ids as text, and what they decode to, of a word; ``key`` is the word without its first blank."""
+        if (cut := _TAIL.search(key)) and (at := cut.start()) and key[at - 1] != 32 and (key[at - 1 : at + 1].decode("ascii", "replace") not in self.joined):
+            head, tail = self.memo[key[:at]], self.tails[key[at:]]  # no piece holds these two characters side by side
+            return head[0] + b"," + tail[0], head[1] + tail[1]
+        return self._ids(self.word(MARK + key.decode().replace(" ", MARK)))
 
-    def _back(self, csv: bytes) -> bytes:
-        return b"".join([self.raw[int(i)] for i in csv.split(b",")]) if csv else b""
+    def _tail(self, key: bytes) -> tuple[bytes, bytes]:
+        return self._ids(self.word(key.decode()))
 
-    def words(self, body: bytes) -> list[bytes]:
-        """The normalised text cut where a word starts; a word keeps the marks (as blanks) before it."""
+    def _ids(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return ",".join(map(str, ids)).encode(), b"".join([self.raw[i] for i in ids])
+
+    @staticmethod
+    def words(body: bytes) -> list[bytes]:
+        """The text with a blank before it, cut where words start; each word without its first blank, but with any others before it."""
         if not body:
             return []
-        if MARK.encode() in body:
-            body = body.replace(MARK.encode(), b" ")
-        body = b" " + body if self.prefix else body
-        if b"  " in body or body[-1:] == b" " or body[:1] != b" ":
-            return re.findall(rb" *[^ ]+| +", body)
-        return [b" " + w for w in body[1:].split(b" ")]
-
-    def encode(self, body: bytes) -> bytes:
-        """Ids as decimal numbers joined by commas."""
-        return b",".join(map(self.csv.__getitem__, self.words(body)))
-
-    def decode(self, ids: list[int] | bytes) -> bytes:
-        """UTF-8 text of ids; bytes that form no character become U+FFFD each, as in the library."""
-        if not isinstance(ids, bytes):
-            ids = ",".join(map(str, ids)).encode()
-        return self._finish(self._back(ids))
-
-    def _finish(self, raw: bytes) -> bytes:
-        return raw[1:] if self.prefix and raw[:1] == b" " else raw
+        if b"\xe2\x96\x81" in body:
+            body = body.replace(b"\xe2\x96\x81", b" ")
+        if b"  " in body or body[-1:] == b" " or body[:1] == b" ":
+            return [w[1:] for w in re.findall(rb" *[^ ]+| +", b" " + body)]
+        return body.split(b" ")
 
     def both(self, body: bytes) -> tuple[bytes, bytes]:
-        """The ids' text form, and what these ids decode to."""
-        each = list(map(self.csv.__getitem__, self.words(body)))
-        return b",".join(each), self._finish(b"".join(map(self.back.__getitem__, each)))
+        """The ids as decimal numbers joined by commas, and the UTF-8 text that these ids decode to."""
+        each = list(map(self.memo.__getitem__, self.words(body)))
+        return b",".join([x for x, _ in each]), b"".join([x for _, x in each])[1:]
+
+    def encode(self, text: str) -> list[int]:
+        csv = self.both(text.encode())[0]
+        return [int(x) for x in csv.split(b",")] if csv else []
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of any ids; bytes that form no character become U+FFFD."""
+        raw = b"".join([self.raw[i] for i in ids])
+        return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
 _CODECS: dict[str, PieceCodec] = {}
