@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.decontamination import contamination
 from tidelog.llm.sentencepiece import piece_tokens
+from tidelog.llm.toxicity import train_and_score
 from tidelog.llm.url_filter import RULES, SOFT, SOFT_DISTINCT, STRICT, url_verdicts
 
 
@@ -23,6 +24,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages")).drop("strict_terms", "soft_terms")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = train_and_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "starts", "ends")
 
