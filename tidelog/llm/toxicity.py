@@ -69,10 +69,10 @@ def _slots_of(words: set[bytes]) -> np.ndarray:
     return np.fromiter({s for w in words for s in word_slots(w)}, dtype=np.int32)
 
 
-def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, pull: float = 1.0, l2: float = 1e-4, epochs: int = 200, rate: float = 0.3, screen: float = 4.0) -> ToxicityModel:
-    """Fits on at most ``rows`` labelled rows, chosen by a hash of their id, so the driver's memory has a bound.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, pull: float = 1.0, l2: float = 1e-4, epochs: int = 200, rate: float = 0.3, screen: float = 4.0) -> ToxicityModel:
+    """Fits on at most ``rows`` labels, chosen by a hash of their id, so the driver's memory and the broadcast of their ids have a bound.
 
-    Rows without label are left out; null texts count as empty. Without rows, or with one class only, the bias is
+    Labels without value or text are left out, repeated ones count once; null texts count as empty. Without rows, or with one class only, the bias is
     the smoothed log odds and all weights are zero. Features are hashed on the executors and screened by their association.
     """
 
@@ -83,8 +83,9 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
             other = [_slots_of(s).tobytes() if s != w else None for w, s in pairs]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(plain, pa.binary()), pa.array(other, pa.binary())], ["y", "plain", "other"])
 
-    chosen = labelled.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("body"), F.col(label_col).cast("int").alias("y"))
-    chosen = chosen.where(F.col("y").isNotNull()).orderBy(F.xxhash64("id"), "id", "y").limit(rows).select("body", "y")
+    chosen = labels.select(F.col(label_id).cast("bigint").alias("label_id"), F.col(label_col).cast("int").alias("y")).dropna().distinct()
+    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(rows)
+    chosen = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("body", "y")
     got = chosen.mapInArrow(run, "y int, plain binary, other binary").toArrow()
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     y = np.minimum(y, 1)
@@ -174,7 +175,6 @@ def remainder(id_col: str, m: int):
 
 def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> DataFrame:
     """Fits on the labelled rows outside the held-out fold (remainder 0) and scores every row; adds ``held_out``."""
-    own = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col(label_col).alias("y")).where(remainder("label_id", fold) != 0).distinct()
-    bodies = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-    model = fit_toxicity(own.join(bodies, F.col("label_id") == F.col("id")).select("id", "body", "y"), "id", "body", "y")
+    own = labels.select("doc_id", label_col).where(remainder("doc_id", fold) != 0)
+    model = fit_toxicity(docs, own, "doc_id", id_col, text_col, label_col)
     return score_toxicity(docs, model, id_col, text_col).withColumn("held_out", remainder(id_col, fold) == 0)
