@@ -20,7 +20,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the input's size: of its files, never of a scan of the rows."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def parts(df: DataFrame, bytes_each: int = BLOCK_BYTES, factor: float = 1.0) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.decontamination import contamination
 from tidelog.llm.sentencepiece import piece_tokens
+from tidelog.llm.substring_dedup import dedup_substrings
 from tidelog.llm.toxicity import train_and_score
 from tidelog.llm.url_filter import RULES, SOFT, SOFT_DISTINCT, STRICT, url_verdicts
 
@@ -16,6 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(read(spark, sf_dir, "documents"), digests_only=True)
 
