@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.decontamination import contamination
+from tidelog.llm.embedding_dedup import embedding_components
 from tidelog.llm.ngram_join import jaccard_components
 from tidelog.llm.sentencepiece import piece_tokens
 from tidelog.llm.substring_dedup import dedup_substrings
@@ -30,6 +31,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(read(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(read(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages")).drop("strict_terms", "soft_terms")
 
