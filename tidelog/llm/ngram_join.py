@@ -4,8 +4,8 @@ Documents with equal shingle sets form one class; only classes are compared. All
 first (by counts over all documents, in a table of fixed size) and break ties each by another hash. Two sets that
 reach the threshold share a shingle of their prefixes under every order. Classes that share one under the first order
 meet in groups; a pair goes on only if its prefixes under all other orders share a shingle too, and is then verified
-on the whole sets. A group isn't paired with itself: first its members are held against the group's smallest set and
-their predecessor; then only pairs of different components, so that a large group of near copies costs what its
+on the whole sets. A large group isn't paired with itself: first its members are held against the group's smallest set
+and their neighbours by size; then only pairs of different components, so that a large group of near copies costs what its
 links cost. All pairs of different components that the filters leave are verified, so no link is lost.
 """
 
@@ -25,9 +25,11 @@ from tidelog.llm.components import components
 from tidelog.llm.wordhash import grams, hashed
 
 ORDERS = 3
-#: Counters of shingles, 4 bytes each: the size of what is sent to every executor, whatever the corpus.
-COUNTERS = 1 << 20
-_SEGMENT = 1 << 14
+#: Neighbours in a group that are held against each other at once; the others follow where components still differ.
+NEAR = 16
+#: Counters of shingles; one byte of each (a level) is sent to every executor, whatever the size of the corpus.
+COUNTERS = 1 << 24
+_SEGMENT = 1 << 18
 _SEEDS = [0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
@@ -50,10 +52,10 @@ def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1  # n - ceil(n * percent / 100) + 1
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
+def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first shingles of a set under one order; enough that sets over the threshold share one."""
     p = prefix_size(len(s), percent)
-    level = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
+    level = levels[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
     key = level << np.uint64(56) | mix64(s ^ np.uint64(_SEEDS[order])) >> np.uint64(8)
     return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
 
@@ -71,7 +73,7 @@ def _profile(n: int):
             m = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "cls", "n", "segment", "counts"])
         if counts.any():
-            rows = [zlib.compress(counts[k : k + _SEGMENT].tobytes(), 1) for k in range(0, COUNTERS, _SEGMENT)]
+            rows = [zlib.compress(np.minimum(counts[k : k + _SEGMENT], 65_535).astype(np.uint16).tobytes(), 1) for k in range(0, COUNTERS, _SEGMENT)]
             m = len(rows)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(rows, pa.binary())], ["id", "cls", "n", "segment", "counts"])
 
@@ -79,30 +81,31 @@ def _profile(n: int):
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the tasks' counters and gives for every counter a level 0 to 255 that rises with its logarithm."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            one = np.frombuffer(zlib.decompress(raw), np.uint32)
-            sums[k] = sums[k] + one if k in sums else one.astype(np.uint64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["segment", "counts"])
+            one = np.frombuffer(zlib.decompress(raw), np.uint16)
+            if k not in sums:
+                sums[k] = np.zeros(_SEGMENT, np.uint64)
+            sums[k] += one
+    levels = [np.minimum(255, np.log2(v + 1.0) * 6).astype(np.uint8).tobytes() for v in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
 
 
 def _levels(profile: DataFrame) -> bytes:
-    """For every counter a level 0 to 255 that rises with the logarithm of its count."""
-    total = np.zeros(COUNTERS, np.uint64)
-    rows = profile.where(F.col("segment").isNotNull()).select("segment", "counts").repartition(16, "segment").mapInArrow(_added, "segment int, counts binary")
-    for r in rows.collect():  # COUNTERS numbers in all
-        total[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint64)
-    return np.minimum(255, np.log2(total + 1.0) * 6).astype(np.uint8).tobytes()
+    total = bytearray(COUNTERS)
+    rows = profile.where(F.col("segment").isNotNull()).select("segment", "counts").repartition(16, "segment").mapInArrow(_added, "segment int, levels binary")
+    for r in rows.collect():  # COUNTERS bytes in all
+        total[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = r.levels
+    return bytes(total)
 
 
-def _unpack(shared) -> np.ndarray:
-    return np.frombuffer(shared.value, np.uint8).astype(np.uint64)
+def _prefixes(n: int, percent: int, orders: int, shared):
+    """Rows of all orders' prefixes: token (its last two bits tell the order), set size, class."""
 
-
-def _first_prefixes(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = _unpack(shared), set()
+        levels, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             tokens, cls, size = [], [], []
             for _, s in shingle_sets(batch.column(1), n):
@@ -110,17 +113,18 @@ def _first_prefixes(n: int, percent: int, shared):
                     if len(seen) >= 300_000:
                         seen.clear()
                     seen.add(c)
-                    t = prefix(s, counts, 0, percent)
-                    tokens.append(t)
-                    cls.append(np.full(len(t), c))
-                    size.append(np.full(len(t), len(s)))
-                if len(tokens) >= 2000:
-                    yield _rows(tokens, size, cls)
+                    for r in range(orders):
+                        t = prefix(s, levels, r, percent)
+                        tokens.append(mix64(t ^ np.uint64(_SEEDS[r])) & np.uint64(2**64 - 4) | np.uint64(r))
+                        cls.append(np.full(len(t), c))
+                        size.append(np.full(len(t), len(s)))
+                if len(tokens) >= 6000:
+                    yield rows(tokens, size, cls)
                     tokens, cls, size = [], [], []
             if tokens:
-                yield _rows(tokens, size, cls)
+                yield rows(tokens, size, cls)
 
-    def _rows(tokens, size, cls):
+    def rows(tokens, size, cls):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(cls))], ["token", "n", "cls"])
 
     return run
@@ -161,22 +165,25 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(percent: int):
-    """From crowded rows sorted by token, size, class: each with the group's smallest set in reach, and with its predecessor."""
+    """From crowded rows sorted by token, size, class: each with the group's smallest set in reach and with its ``NEAR`` predecessors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = lead = before = None
+        token, lead, before = None, None, []
         for b in batches:
             left, right = [], []
             for t, n, c in zip(*(x.to_pylist() for x in b.columns)):
-                if t != token or 100 * lead[0] < percent * n:
-                    token, lead = t, (n, c)
+                if t != token:
+                    token, lead, before = t, (n, c), []
+                elif 100 * lead[0] < percent * n:
+                    lead = (n, c)
                 else:
                     left.append(lead[1])
                     right.append(c)
-                    if before[1] != lead[1]:
-                        left.append(before[1])
+                for m, other in before:
+                    if 100 * m >= percent * n and other != lead[1]:
+                        left.append(other)
                         right.append(c)
-                before = (n, c)
+                before = [*before[1 - NEAR :], (n, c)]
             yield _pairs(left, right)
 
     return run
@@ -213,18 +220,12 @@ def _pairs(left: list[int], right: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def _members(n: int, percent: int, orders: int, shared):
+def _members(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _unpack(shared)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                cls, sets, heads = [], [], []
-                for _, s in shingle_sets(batch.column(1).slice(k, 500), n):
-                    if len(s):
-                        cls.append(class_of(s))
-                        sets.append(s.tobytes())
-                        heads.append([prefix(s, counts, r, percent).view(np.int64).tolist() for r in range(1, orders)])
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary()), pa.array(heads, pa.list_(pa.list_(pa.int64())))], ["cls", "members", "heads"])
+                sets = [s for _, s in shingle_sets(batch.column(1).slice(k, 500), n) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
     return run
 
@@ -254,34 +255,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = profile.where(F.col("segment").isNull()).select("id", "cls", "n")
     classes = stored(rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("lowest")), "classes")
 
-    count = parts(bodies, factor=2)
-    heads = bodies.mapInArrow(_first_prefixes(shingle, percent, shared), "token bigint, n int, cls bigint")
+    count = parts(bodies, factor=orders)
+    heads = bodies.mapInArrow(_prefixes(shingle, percent, orders, shared), "token bigint, n int, cls bigint")
     heads = heads.repartition(count, "token").sortWithinPartitions("token", "n", "cls")
     groups = stored(heads.mapInArrow(_crowded, "token bigint, n int, cls bigint"), "groups")
-
-    wanted = groups.select("cls").distinct().join(classes, "cls").select(F.col("lowest").alias("id")).distinct()
-    members = stored(bodies.join(wanted, "id", "left_semi").select("id", "body").mapInArrow(_members(shingle, percent, orders, shared), "cls bigint, members binary, heads array<array<bigint>>").dropDuplicates(["cls"]), "members")
+    of_order = lambda r: groups.where(F.col("token").bitwiseAND(3) == r)
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Pairs (of classes) that pass the other orders' filters and the threshold, as pairs of first ids."""
-        for side in ("a", "b"):
-            pairs = pairs.join(members.select(F.col("cls").alias(side), F.col("heads").alias("heads_" + side)), side)
-        for r in range(orders - 1):
-            pairs = pairs.where(F.arrays_overlap(F.col("heads_a")[r], F.col("heads_b")[r]))
-        pairs = stored(pairs.select("a", "b"), "candidates")
-        sets = members.select("cls", "members")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        """Pairs (of classes) that pass the other orders' filters and the threshold, as pairs of documents."""
+        for r in range(1, orders):
+            shared_a = pairs.join(of_order(r).select(F.col("cls").alias("a"), "token"), "a")
+            pairs = shared_a.join(of_order(r).select(F.col("cls").alias("b"), "token"), ["b", "token"], "left_semi").select("a", "b").distinct()
+        pairs = stored(pairs, "candidates")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("lowest").alias("id")).distinct()
+        members = stored(bodies.join(wanted, "id", "left_semi").select("id", "body").mapInArrow(_members(shingle), "cls bigint, members binary"), "members")
+        both = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
         found = both.mapInArrow(_verified(percent), "a bigint, b bigint")
-        return found.join(classes.toDF("a", "first_a"), "a").join(classes.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        return stored(found.join(classes.toDF("a", "lowest_a"), "a").join(classes.toDF("b", "lowest_b"), "b").select(F.col("lowest_a").alias("a"), F.col("lowest_b").alias("b")), "links")
 
     order = ("token", "n", "cls")
-    stars = groups.repartition(count, "token").sortWithinPartitions(*order).mapInArrow(_stars(percent), "a bigint, b bigint").distinct()
-    linked = stored(links(stars), "links")
+    firsts = of_order(0)
+    stars = firsts.repartition(count, "token").sortWithinPartitions(*order).mapInArrow(_stars(percent), "a bigint, b bigint").distinct()
+    linked = links(stars)
     known = components(linked)
     of_class = classes.join(known, classes.lowest == known.node, "left").select("cls", F.coalesce("component", "lowest").alias("component"))
-    marked = groups.join(of_class, "cls").select("token", "n", "cls", "component")
+    marked = firsts.join(of_class, "cls").select("token", "n", "cls", "component")
     crosses = marked.repartition(count, "token").sortWithinPartitions(*order).mapInArrow(_crosses(percent), "a bigint, b bigint").distinct()
-    linked = linked.unionByName(links(crosses.join(stars, ["a", "b"], "left_anti")))
+    crosses = stored(crosses.join(stars, ["a", "b"], "left_anti"), "crosses")
+    if not crosses.isEmpty():
+        linked = linked.unionByName(links(crosses))
     known = components(linked)
     of_class = classes.join(known, classes.lowest == known.node, "left").select("cls", F.coalesce("component", "lowest").alias("component"))
     out = rows.join(of_class, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
