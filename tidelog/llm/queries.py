@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.decontamination import contamination
 from tidelog.llm.embedding_dedup import embedding_components
+from tidelog.llm.html_text import main_texts
 from tidelog.llm.ngram_join import jaccard_components
 from tidelog.llm.sentencepiece import piece_tokens
 from tidelog.llm.substring_dedup import dedup_substrings
@@ -23,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read(spark, sf_dir, "pages"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
