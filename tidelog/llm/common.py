@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` (bigint) and ``body`` (UTF-8 bytes, null for null) only, so that other columns, whatever their names, stay out."""
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("body"))
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """``id`` (bigint) and ``body`` (UTF-8 bytes, null for null) only, so that other columns, whatever their names, stay out.
+
+    The columns in ``carry`` come along as one struct, ``carried``; the second result declares it for a schema.
+    """
+    columns = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("body")]
+    if not carry:
+        return df.select(*columns), ""
+    out = df.select(*columns, F.struct(*carry).alias("carried"))
+    return out, f", carried {out.schema['carried'].dataType.simpleString()}"
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -85,7 +85,7 @@ def windows(items: list[tuple[int, bytes | None]], window: int) -> dict[tuple[by
     return out
 
 
-def _spans(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int, whole: bool) -> DataFrame:
+def _spans(docs: DataFrame, kind: str, items: list[tuple[int, bytes | None]], window: int, whole: bool) -> DataFrame:
     """Per document: words, covered word ranges and items. Without ``whole`` only documents with hits."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -110,9 +110,9 @@ def _spans(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int,
                     starts.append([s for s, _ in spans])
                     ends.append([e for _, e in spans])
                     found.append([known[k][0] for k in sorted(hit)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["id", "n_words", "starts", "ends", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), *(batch.columns[2:] if whole else ())], ["id", "n_words", "starts", "ends", "items", *(batch.schema.names[2:] if whole else ())])
 
-    return docs.mapInArrow(run, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>" + kind * whole)
 
 
 def _digest(ids: list[int]) -> tuple[int, str]:
@@ -120,42 +120,43 @@ def _digest(ids: list[int]) -> tuple[int, str]:
     return len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_limit: int = BLOCK_LIMIT) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_limit: int = BLOCK_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (array), ``starts`` and ``ends`` (covered word ranges), ``items_sha256``, ``contaminated``.
 
     Null and empty texts have no words and no hits; null or empty items occur nowhere; repeated items each count;
-    an empty benchmark leaves all documents clean. Extra columns are left out. ``contaminated``: at least one word in
+    an empty benchmark leaves all documents clean. Extra columns are left out, but for
+    those in ``carry``, which come back as the fields of ``carried``. ``contaminated``: at least one word in
     twenty is covered. The benchmark is held in memory up to ``block_limit`` bytes; a larger one is written by blocks of that
     size to the shared folder and searched block by block, the hits of a document are united. No shuffle for one block.
     """
-    bodies, items = texts(docs, id_col, text_col), texts(benchmark, item_col, item_text)
+    (bodies, kind), (items, _) = texts(docs, id_col, text_col, carry), texts(benchmark, item_col, item_text)
     size = items.agg(F.coalesce(F.sum(F.length("body") + 64), F.lit(0))).first()[0]
     if size <= block_limit:
-        spans = _spans(bodies, [(r.id, bytes(r.body) if r.body is not None else None) for r in items.collect()], window, True)
+        spans = _spans(bodies, kind, [(r.id, bytes(r.body) if r.body is not None else None) for r in items.collect()], window, True)
     else:
         blocks = -(-2 * size // block_limit)
         kept = stored(items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "benchmark")
         hits = None
         for b in range(blocks):
             rows = [(r.id, bytes(r.body) if r.body is not None else None) for r in kept.where(F.col("block") == b).collect()]
-            one = _spans(bodies, rows, window, False)
+            one = _spans(bodies, kind, rows, window, False)
             hits = one if hits is None else hits.unionByName(one)
-        none = bodies.mapInArrow(_counted, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>")
-        spans = none.unionByName(hits).groupBy("id", "n_words").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
-    return spans.mapInArrow(_finish, "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean").withColumnRenamed("id", id_col)
+        hits = hits.groupBy("id", "n_words").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
+        rows = bodies.mapInArrow(_counted, "id bigint, n_words bigint" + kind)
+        spans = rows.join(hits, ["id", "n_words"], "left").select("id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<bigint>"))], *rows.columns[2:])
+    return spans.mapInArrow(_finish, "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean" + kind).withColumnRenamed("id", id_col)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = [len(fold_words(x)) for x in b.column(1).to_pylist()]
-        no = [[] for _ in n]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(no, pa.list_(pa.int32())), pa.array(no, pa.list_(pa.int32())), pa.array(no, pa.list_(pa.int64()))], ["id", "n_words", "starts", "ends", "items"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *b.columns[2:]], ["id", "n_words", *b.schema.names[2:]])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for r in b.to_pylist():
+        for r in b.select(["id", "n_words", "starts", "ends", "items"]).to_pylist():
             spans: list[list[int]] = []
             for s, e in sorted(zip(r["starts"], r["ends"])):
                 if spans and s <= spans[-1][1]:
@@ -166,4 +167,4 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_items, digest = _digest(r["items"])
             rows.append((r["id"], r["n_words"], n_hit, n_items, r["items"], [s for s, _ in spans], [e for _, e in spans], digest, n_hit > 0 and 20 * n_hit >= r["n_words"]))
         kinds = [("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)), *b.columns[5:]], [*(n for n, _ in kinds), *b.schema.names[5:]])

@@ -249,7 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts, and texts of blanks only, have no shingles and link with nothing; shorter texts than a
     shingle are one. Rows with equal id are one document of the graph. Rows without id keep a null component. Extra columns are left out.
     """
-    bodies = texts(docs, id_col, text_col)
+    bodies, _ = texts(docs, id_col, text_col)
     profile = stored(bodies.mapInArrow(_profile(shingle), "id bigint, cls bigint, n bigint, segment int, counts binary"), "profile")
     shared = docs.sparkSession.sparkContext.broadcast(_levels(profile))
     rows = profile.where(F.col("segment").isNull()).select("id", "cls", "n")

@@ -253,5 +253,5 @@ def piece_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = texts(df, id_col, text_col).mapInArrow(run, "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + extra)
+    out = texts(df, id_col, text_col)[0].mapInArrow(run, "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + extra)
     return out.withColumnRenamed("id", id_col)

@@ -155,7 +155,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the covered words; gives counts, the digest of what is kept, the kept text and the covered ranges."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for i, body, spans in zip(*(c.to_pylist() for c in batch.columns)):
+        for i, body, spans in zip(*(c.to_pylist() for c in batch.columns[:3])):
             words = (body or b"").split()
             ranges: list[list[int]] = []
             for s, n in sorted((s["at"], s["words"]) for s in spans or ()):
@@ -172,12 +172,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for o, v in zip(out, (i, len(words), removed, hashlib.sha256(text).hexdigest(), text if removed else body, [s for s, _ in ranges], [e for _, e in ranges])):
                 o.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["id", "n_words", "n_removed", "kept_sha256", "kept", "starts", "ends"])
+        names = ["id", "n_words", "n_removed", "kept_sha256", "kept", "starts", "ends"]
+        yield pa.RecordBatch.from_arrays([*(pa.array(o, k) for o, k in zip(out, kinds)), *batch.columns[3:]], [*names, *batch.schema.names[3:]])
 
 
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Maximal repeated paths before verification: id, ``at``, ``words``, and the ``source`` document and place they repeat."""
-    bodies = texts(docs, id_col, text_col).where(F.col("id").isNotNull())
+    bodies = texts(docs, id_col, text_col)[0].where(F.col("id").isNotNull())
     n = parts(bodies, factor=3)
     pieces = bodies.mapInArrow(_pieces(window), "key bigint, id bigint, at int, edges binary")
     dealt = pieces.repartition(n, "key").sortWithinPartitions("key", "id", "at")
@@ -186,16 +187,17 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lists.mapInArrow(_glue(window), "id bigint, at int, words int, source bigint, source_at int")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept`` (text), ``starts`` and ``ends`` (removed word ranges).
 
     A word goes when a window of ``window`` words that covers it also starts in a document with a smaller id; all windows
     are judged on the input. ``kept`` joins the kept words by a blank; a text that loses nothing stays as it is. Null and
     empty texts have no words (the hash of nothing; ``kept`` null or empty). Rows with equal id count as one document
-    for the order: none of them takes words from another. Rows without id lose nothing. Extra columns are left out.
+    for the order: none of them takes words from another. Rows without id lose nothing. Extra columns are left
+    out, but for those in ``carry``, which come back as the fields of ``carried``.
     A path whose digest differs from its source's (a hash collision) is not removed.
     """
-    bodies = texts(docs, id_col, text_col)
+    bodies, _ = texts(docs, id_col, text_col)
     paths = stored(repeated_paths(docs, id_col, text_col, window), "paths")
     places = paths.select("id", "at", "words").unionByName(paths.select(F.col("source").alias("id"), F.col("source_at").alias("at"), "words")).distinct()
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("at", "words")).alias("spans"))
@@ -205,6 +207,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     there = digests.select(F.col("id").alias("source"), F.col("at").alias("source_at"), "words", "digest")
     same = paths.join(own, ["id", "at", "words"]).join(there, ["source", "source_at", "words"]).where(F.col("own") == F.col("digest"))
     gone = same.select("id", "at", "words").distinct().groupBy("id").agg(F.collect_list(F.struct("at", "words")).alias("spans"))
-    out = bodies.join(gone, "id", "left").select("id", "body", "spans")
-    out = out.mapInArrow(_cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary, starts array<int>, ends array<int>")
+    whole, kind = texts(docs, id_col, text_col, carry)
+    out = whole.join(gone, "id", "left").select("id", "body", "spans", *whole.columns[2:])
+    out = out.mapInArrow(_cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary, starts array<int>, ends array<int>" + kind)
     return out.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("id", id_col)

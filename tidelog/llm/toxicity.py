@@ -85,7 +85,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", i
 
     chosen = labels.select(F.col(label_id).cast("bigint").alias("label_id"), F.col(label_col).cast("int").alias("y")).dropna().distinct()
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(rows)
-    chosen = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("body", "y")
+    chosen = texts(docs, id_col, text_col)[0].join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("body", "y")
     got = chosen.mapInArrow(run, "y int, plain binary, other binary").toArrow()
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     y = np.minimum(y, 1)
@@ -136,11 +136,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", i
     return ToxicityModel(weights, float(b))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, ``score`` (0 to 1) and ``predicted``. Null and empty texts get the bias alone; whole texts are read.
 
     A narrow map. The model is broadcast; its size is fixed by ``DIM``. Each distinct word's slots are looked up
-    once per worker, in a bounded memo. Repeated rows are scored each; extra columns are left out.
+    once per worker, in a bounded memo. Repeated rows are scored each; extra columns are left out, but for
+    those in ``carry``, which come back as the fields of ``carried``.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.bias))
 
@@ -163,9 +164,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                         slots.update(s)
                 z = bias + float(weights[list(slots)].astype(np.float64).sum()) if slots else bias
                 scores.append(1 / (1 + float(np.exp(-max(-500.0, min(500.0, z))))))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]], ["id", "score", "predicted", *b.schema.names[2:]])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id bigint, score double, predicted int").withColumnRenamed("id", id_col)
+    rows, kind = texts(docs, id_col, text_col, carry)
+    return rows.mapInArrow(run, "id bigint, score double, predicted int" + kind).withColumnRenamed("id", id_col)
 
 
 def remainder(id_col: str, m: int):
