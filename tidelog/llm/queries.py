@@ -12,6 +12,7 @@ from tidelog.llm.html_text import main_texts
 from tidelog.llm.ngram_join import jaccard_components
 from tidelog.llm.sentencepiece import piece_tokens
 from tidelog.llm.substring_dedup import dedup_substrings
+from tidelog.llm.suffix_tree import suffix_tree_scores
 from tidelog.llm.toxicity import train_and_score
 from tidelog.llm.url_filter import RULES, SOFT, SOFT_DISTINCT, STRICT, url_verdicts
 
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(read(spark, sf_dir, "pages"))
 
