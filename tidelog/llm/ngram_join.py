@@ -3,9 +3,9 @@
 Documents with equal shingle sets form one class; only classes are compared. All token orders put rare shingles
 first (by counts over all documents, in a table of fixed size) and break ties each by another hash. Two sets that
 reach the threshold share a shingle of their prefixes under every order. Classes that share one under the first order
-meet in groups; a pair goes on only if its prefixes under all other orders share a shingle too, and is then verified
-on the whole sets. A large group isn't paired with itself: first its members are held against the group's smallest set
-and their neighbours by size; then only pairs of different components, so that a large group of near copies costs what its
+meet in groups; a pair goes on only if its prefixes under all other orders share a shingle too, at places that leave
+enough shingles behind them, and is then verified on the whole sets. A large group isn't paired with itself: first its
+members are held against leaders of the group and their neighbours; then only pairs of different components, so that a large group of near copies costs what its
 links cost. All pairs of different components that the filters leave are verified, so no link is lost.
 """
 
@@ -53,11 +53,17 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first shingles of a set under one order; enough that sets over the threshold share one."""
+    """The first shingles of a set under one order, sorted by it; enough that sets over the threshold share one."""
     p = prefix_size(len(s), percent)
     level = levels[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
     key = level << np.uint64(56) | mix64(s ^ np.uint64(_SEEDS[order])) >> np.uint64(8)
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+    return s[first[np.argsort(key[first])]]
+
+
+def reach(n: int, m: int, percent: int) -> int:
+    """Shingles that sets of ``n`` and ``m`` must share to be linked."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
 def _profile(n: int):
@@ -102,12 +108,12 @@ def _levels(profile: DataFrame) -> bytes:
 
 
 def _prefixes(n: int, percent: int, orders: int, shared):
-    """Rows of all orders' prefixes: token (its last two bits tell the order), set size, class."""
+    """Rows of all orders' prefixes: token (its last two bits tell the order), its place in the prefix, set size, class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            tokens, cls, size = [], [], []
+            tokens, places, size, cls = [], [], [], []
             for _, s in shingle_sets(batch.column(1), n):
                 if len(s) and (c := class_of(s)) not in seen:  # a class once per task, as far as the memory of it reaches
                     if len(seen) >= 300_000:
@@ -116,96 +122,100 @@ def _prefixes(n: int, percent: int, orders: int, shared):
                     for r in range(orders):
                         t = prefix(s, levels, r, percent)
                         tokens.append(mix64(t ^ np.uint64(_SEEDS[r])) & np.uint64(2**64 - 4) | np.uint64(r))
-                        cls.append(np.full(len(t), c))
+                        places.append(np.arange(len(t)))
                         size.append(np.full(len(t), len(s)))
+                        cls.append(np.full(len(t), c))
                 if len(tokens) >= 6000:
-                    yield rows(tokens, size, cls)
-                    tokens, cls, size = [], [], []
+                    yield rows(tokens, places, size, cls)
+                    tokens, places, size, cls = [], [], [], []
             if tokens:
-                yield rows(tokens, size, cls)
+                yield rows(tokens, places, size, cls)
 
-    def rows(tokens, size, cls):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(cls))], ["token", "n", "cls"])
+    def rows(tokens, places, size, cls):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(cls))], ["token", "pos", "n", "cls"])
 
     return run
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token, size and class: those of tokens with several classes, each row once."""
+    """From rows sorted by token, place, size and class: those of tokens with several classes, each row once."""
     held = None  # the first row of the token at the end of the last batch, while it has one class only
     last = None  # the last row seen
     for b in batches:
         if not b.num_rows:
             continue
-        t, n, c = (np.asarray(x) for x in b.columns)
+        t, i, n, c = (np.asarray(x) for x in b.columns)
+        before = last
         if held is not None:
-            t, n, c = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, c)))
+            t, i, n, c = (np.concatenate([[h], x]) for h, x in zip(held, (t, i, n, c)))
             before = None
-        else:
-            before = last
         new_token = np.ones(len(t), bool)
         new_token[1:] = t[1:] != t[:-1]
         fresh = new_token.copy()
         fresh[1:] |= c[1:] != c[:-1]
         going_on = before is not None and t[0] == before[0]  # a token already known to be crowded
-        if going_on and c[0] == before[2]:
+        if going_on and c[0] == before[1]:
             fresh[0] = False
         group = np.cumsum(new_token) - 1
         count = np.bincount(group, fresh)
         if going_on:
             count[0] += 2
-        last = (t[-1], n[-1], c[-1])
+        last, held = (t[-1], c[-1]), None
         keep = fresh & (count[group] > 1)
-        held = None
         if count[-1] == 1:
             k = np.flatnonzero(group == group[-1])[0]
-            held = (t[k], n[k], c[k])
+            held = (t[k], i[k], n[k], c[k])
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(n[keep].astype(np.int32)), pa.array(c[keep])], ["token", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(i[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(c[keep])], ["token", "pos", "n", "cls"])
 
 
 def _stars(percent: int):
-    """From crowded rows sorted by token, size, class: each with the group's smallest set in reach and with its ``NEAR`` predecessors."""
+    """From crowded rows sorted by token and place: each with the group's first class in reach (it has the fewest rarer
+    shingles, so of near copies it is the one closest to their common original) and with its ``NEAR`` predecessors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, lead, before = None, None, []
+        token, before, leads = None, [], []
         for b in batches:
             left, right = [], []
-            for t, n, c in zip(*(x.to_pylist() for x in b.columns)):
+            for t, i, n, c in zip(*(x.to_pylist() for x in b.columns)):
                 if t != token:
-                    token, lead, before = t, (n, c), []
-                elif 100 * lead[0] < percent * n:
-                    lead = (n, c)
-                else:
-                    left.append(lead[1])
-                    right.append(c)
-                for m, other in before:
-                    if 100 * m >= percent * n and other != lead[1]:
+                    token, before, leads = t, [], []
+                led = False
+                for m, j, other in leads:
+                    if min(n - i, m - j) >= reach(n, m, percent):
+                        left.append(other)
+                        right.append(c)
+                        led = True
+                        break
+                if not led and len(leads) < NEAR:
+                    leads.append((n, i, c))
+                for m, j, other in before:
+                    if min(n - i, m - j) >= reach(n, m, percent):
                         left.append(other)
                         right.append(c)
-                before = [*before[1 - NEAR :], (n, c)]
+                before = [*before[1 - NEAR :], (n, i, c)]
             yield _pairs(left, right)
 
     return run
 
 
 def _crosses(percent: int):
-    """The same rows with their component: all pairs in reach whose components differ."""
+    """From crowded rows sorted by token and size, with their component: all pairs in reach whose components differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, near = None, []
         for b in batches:
             left, right = [], []
-            for t, n, c, comp in zip(*(x.to_pylist() for x in b.columns)):
+            for t, i, n, c, comp in zip(*(x.to_pylist() for x in b.columns)):
                 if t != token:
                     token, near = t, []
                 elif near and 100 * near[0][0] < percent * n:
                     near = [x for x in near if 100 * x[0] >= percent * n]
-                for _, other, its in near:
-                    if its != comp:
+                for m, j, other, its in near:
+                    if its != comp and min(n - i, m - j) >= reach(n, m, percent):
                         left.append(other)
                         right.append(c)
-                near.append((n, c, comp))
+                near.append((n, i, c, comp))
                 if len(left) >= 100_000:
                     yield _pairs(left, right)
                     left, right = [], []
@@ -256,16 +266,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("lowest")), "classes")
 
     count = parts(bodies, factor=orders)
-    heads = bodies.mapInArrow(_prefixes(shingle, percent, orders, shared), "token bigint, n int, cls bigint")
-    heads = heads.repartition(count, "token").sortWithinPartitions("token", "n", "cls")
-    groups = stored(heads.mapInArrow(_crowded, "token bigint, n int, cls bigint"), "groups")
+    heads = bodies.mapInArrow(_prefixes(shingle, percent, orders, shared), "token bigint, pos int, n int, cls bigint")
+    heads = heads.repartition(count, "token").sortWithinPartitions("token", "pos", "n", "cls")
+    groups = stored(heads.mapInArrow(_crowded, "token bigint, pos int, n int, cls bigint"), "groups")
     of_order = lambda r: groups.where(F.col("token").bitwiseAND(3) == r)
 
     def links(pairs: DataFrame) -> DataFrame:
         """Pairs (of classes) that pass the other orders' filters and the threshold, as pairs of documents."""
         for r in range(1, orders):
-            shared_a = pairs.join(of_order(r).select(F.col("cls").alias("a"), "token"), "a")
-            pairs = shared_a.join(of_order(r).select(F.col("cls").alias("b"), "token"), ["b", "token"], "left_semi").select("a", "b").distinct()
+            side = lambda s: of_order(r).select(F.col("cls").alias(s), "token", (F.col("n") - F.col("pos")).alias("left_" + s), F.col("n").alias("n_" + s))  # noqa: E731, B023
+            shared_token = pairs.join(side("a"), "a").join(side("b"), ["b", "token"])
+            pairs = shared_token.where((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
         pairs = stored(pairs, "candidates")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("lowest").alias("id")).distinct()
         members = stored(bodies.join(wanted, "id", "left_semi").select("id", "body").mapInArrow(_members(shingle), "cls bigint, members binary"), "members")
@@ -273,14 +284,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = both.mapInArrow(_verified(percent), "a bigint, b bigint")
         return stored(found.join(classes.toDF("a", "lowest_a"), "a").join(classes.toDF("b", "lowest_b"), "b").select(F.col("lowest_a").alias("a"), F.col("lowest_b").alias("b")), "links")
 
-    order = ("token", "n", "cls")
     firsts = of_order(0)
-    stars = firsts.repartition(count, "token").sortWithinPartitions(*order).mapInArrow(_stars(percent), "a bigint, b bigint").distinct()
+    stars = firsts.repartition(count, "token").sortWithinPartitions("token", "pos", "n", "cls").mapInArrow(_stars(percent), "a bigint, b bigint").distinct()
     linked = links(stars)
     known = components(linked)
     of_class = classes.join(known, classes.lowest == known.node, "left").select("cls", F.coalesce("component", "lowest").alias("component"))
-    marked = firsts.join(of_class, "cls").select("token", "n", "cls", "component")
-    crosses = marked.repartition(count, "token").sortWithinPartitions(*order).mapInArrow(_crosses(percent), "a bigint, b bigint").distinct()
+    marked = firsts.join(of_class, "cls").select("token", "pos", "n", "cls", "component")
+    crosses = marked.repartition(count, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_crosses(percent), "a bigint, b bigint").distinct()
     crosses = stored(crosses.join(stars, ["a", "b"], "left_anti"), "crosses")
     if not crosses.isEmpty():
         linked = linked.unionByName(links(crosses))
