@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.decontamination import contamination
 from tidelog.llm.embedding_dedup import embedding_components
 from tidelog.llm.html_text import main_texts
+from tidelog.llm.license_scan import license_matches
 from tidelog.llm.ngram_join import jaccard_components
 from tidelog.llm.sentencepiece import piece_tokens
 from tidelog.llm.substring_dedup import dedup_substrings
@@ -37,6 +38,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(read(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(read(spark, sf_dir, "documents"), digests_only=True)
 
