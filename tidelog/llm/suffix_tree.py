@@ -34,7 +34,7 @@ MARGIN = 4.0
 #: Share of all tokens from which a word is broadcast.
 SHARE = 1 << 16
 _END = np.uint64(0x3C79AC492BA7B653)
-_CONTEXT = (np.uint64(0), np.uint64(0x1C69B3F74AC4AE35), np.uint64(0x63D83595A9B1F3C7))
+_PAIR = np.uint64(0x63D83595A9B1F3C7)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -102,10 +102,18 @@ class Block:
         self.weight = self.learn[self.doc].astype(np.float64)
         self.place = np.arange(len(self.token)) - self.first[self.doc]
 
-    def unigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct tokens, the number of each token's, and counts in the learning texts."""
-        keys, back = np.unique(self.token, return_inverse=True)
-        return keys, back, np.bincount(back, self.weight, len(keys))
+        self.keys, self.back = np.unique(self.token, return_inverse=True)
+        self._shares: np.ndarray | None = None
+
+    def counts(self) -> np.ndarray:
+        """Of each distinct token in the learning texts."""
+        return np.bincount(self.back, self.weight, len(self.keys))
+
+    def shares(self, top: Top) -> np.ndarray:
+        """Of each distinct token."""
+        if self._shares is None:
+            self._shares = top.share(self.keys)
+        return self._shares
 
 
 class Grams:
@@ -114,25 +122,37 @@ class Grams:
     def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None):
         at = np.flatnonzero(block.place >= order if allowed is None else allowed & (block.place >= order))
         self.at = at
-        token = block.token[at]
-        context = np.full(len(at), _CONTEXT[order])
-        share = np.ones(len(at))
-        for k in range(order, 0, -1):
-            before = block.token[at - k]
-            context = mix64(context ^ before)
-            share = np.minimum(share, top.share(before))
+        shares = block.shares(top)
+        before = block.back[at - 1]
+        share = shares[before]
+        if order == 2:
+            earlier = block.back[at - 2]
+            share = np.minimum(share, shares[earlier])
         spread = np.ceil(share * (4 << bits)).astype(np.uint64)  # a frequent context's tokens go to so many tasks
         self.hot = spread > 4
-        context = np.where(self.hot, mix64(context + token % np.maximum(spread, np.uint64(1)) + np.uint64(1)), context)
-        self.contexts, which = np.unique(context, return_inverse=True)
+        hot = np.flatnonzero(self.hot)
+        # Context hashes and each token's number among them; frequent ones get a hash for each share of their tokens.
+        if order == 1:
+            plain, which = block.keys, before
+        else:
+            plain, which = np.unique(mix64(block.keys[earlier] ^ _PAIR) + block.keys[before], return_inverse=True)
+        apart, which_hot = np.unique(mix64(plain[which[hot]] + block.token[at[hot]] % spread[hot] + np.uint64(1)), return_inverse=True)
+        which = which.copy()
+        which[hot] = len(plain) + which_hot
+        both = np.concatenate([plain, apart])
+        used = np.flatnonzero(np.bincount(which, minlength=len(both)))
+        used = used[np.argsort(both[used])]
+        number = np.zeros(len(both), np.int64)
+        number[used] = np.arange(len(used))
+        self.contexts, which = both[used], number[which]
+        self.hot_context = used >= len(plain)
+        token = block.token[at]
         key = which.astype(np.uint64) << np.uint64(32) | mix64(token ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
         keys, first, self.back = np.unique(key, return_index=True, return_inverse=True)
         self.of = (keys >> np.uint64(32)).astype(np.int64)  # each item's context
         self.item = keys.astype(np.uint32)
         self.count = np.bincount(self.back, block.weight[at], len(keys)).astype(np.uint32)
-        self.level = top.level(token[first])
-        self.hot_context = np.zeros(len(self.contexts), bool)
-        self.hot_context[which[self.hot]] = True
+        self.level = np.minimum(255, np.round(-8 * np.log2(shares[block.back[at[first]]]))).astype(np.uint8)
         self.edges = np.searchsorted(self.contexts, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
 
     def requests(self, name: int, bits: int) -> Iterator[tuple]:
@@ -171,9 +191,6 @@ class Top:
         at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
         return np.where(self.keys[at] == short, self.counts[at] / self.total, 1 / SHARE)
 
-    def level(self, token: np.ndarray) -> np.ndarray:
-        return np.minimum(255, np.round(-8 * np.log2(self.share(token)))).astype(np.uint8)
-
 
 def _five(raw: bytes) -> np.ndarray:
     n = len(raw) // 5
@@ -187,7 +204,7 @@ def _ask_words(bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                keys, _, counts = b.unigrams()
+                keys, counts = b.keys, b.counts()
                 edges = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)) if bits else [0, len(keys)]
                 five = (keys << np.uint64(bits) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
                 rows = [(p, b.name, five[i:j].tobytes(), _pack(counts[i:j].astype(np.uint32))) for p, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
@@ -339,8 +356,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         answers = _by_kind(right)
         for row in left.to_pylist():
             b = Block(row)
-            unique, back, _ = b.unigrams()
-            count = np.concatenate([_unpack(answers[1][p], np.uint32) for p in sorted(answers[1])]).astype(np.float64)[back]
+            count = np.concatenate([_unpack(answers[1][p], np.uint32) for p in sorted(answers[1])]).astype(np.float64)[b.back]
             base = (count + 1) / (total + distinct + 1)
             one = Grams(b, 1, top, bits)
             kept, sums, got = _read(one, answers[2])
