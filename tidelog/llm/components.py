@@ -69,7 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         n = edges.count()
         tasks = max(1, math.ceil(n / TASK_EDGES))
-        forest = edges.repartition(tasks, "a").mapInArrow(_forest, "a bigint, b bigint")
+        shares = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks, "a")
+        forest = shares.mapInArrow(_forest, "a bigint, b bigint")
         if tasks == 1:
             return stored(forest.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
         now = stored(_star(_star(forest, True), False), "stars")
