@@ -23,7 +23,7 @@ def leading_number(text: Column) -> Column:
     """The decimal number that a text starts with, or null (also when it needs more than 64 bits unsigned)."""
     digits = F.regexp_extract(text, r"^(\d+)", 1)
     number = F.when(F.length(digits) <= 38, digits.cast("decimal(38,0)"))
-    return F.when((digits != "") & (number <= F.lit(2**64 - 1).cast("decimal(38,0)")), number)
+    return F.when((digits != "") & (number <= F.lit(str(2**64 - 1)).cast("decimal(38,0)")), number)
 
 
 def percentile_lower(df: DataFrame, column: str, fractions: list[float], slices: int = 200) -> DataFrame:
