@@ -13,21 +13,46 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
+#: Rows of one Arrow batch; texts can be long, and a task holds a batch several times over.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """``id`` (bigint) and ``body`` (UTF-8 bytes, null for null) only, so that other columns, whatever their names, stay out.
 
-    The columns in ``carry`` come along as one struct, ``carried``; the second result declares it for a schema.
+    The columns in ``carry``, but for the text itself, come along as one struct, ``carried``; the second result is its type.
+    The session's Arrow batches are made smaller if they are larger than ``BATCH_ROWS``.
     """
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     columns = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("body")]
     if not carry:
         return df.select(*columns), ""
-    out = df.select(*columns, F.struct(*carry).alias("carried"))
-    return out, f", carried {out.schema['carried'].dataType.simpleString()}"
+    out = df.select(*columns, F.struct(*([c for c in carry if c != text_col] or [id_col])).alias("carried"))
+    return out, out.schema["carried"].dataType.simpleString()
+
+
+def carried(df: DataFrame, carry: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """Makes ``carried`` of ``body`` and the struct that came along: the fields of ``carry`` in their order."""
+    if not carry:
+        return df
+    fields = [F.col("body").cast("string").alias(c) if c == text_col else F.col("carried")[c].alias(c) for c in carry]
+    return df.withColumn("carried", F.struct(*fields)).drop("body")
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the input's size: of its files, never of a scan of the rows."""
-    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    """About the bytes of ``df``: the optimiser's estimate for a plain scan of files, else counted in a pass over the rows.
+
+    Estimates of joins multiply, and rows from elsewhere have none.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and size < 1 << 60:
+        return max(1, size)
+    text = [F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return max(1, df.agg(F.sum(sum(text, F.lit(64)).cast("bigint"))).first()[0] or 1)
 
 
 def parts(df: DataFrame, bytes_each: int = BLOCK_BYTES, factor: float = 1.0) -> int:

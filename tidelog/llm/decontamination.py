@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import input_bytes, stored, texts
+from tidelog.llm.common import carried, stored, texts
 
 WINDOW = 13
 #: The benchmark's text that is held at once, on the driver and by each worker; a larger one is searched block by block.
@@ -88,6 +88,7 @@ def windows(items: list[tuple[int, bytes | None]], window: int) -> dict[tuple[by
 def _spans(docs: DataFrame, kind: str, items: list[tuple[int, bytes | None]], window: int, whole: bool) -> DataFrame:
     """Per document: words, covered word ranges and items. Without ``whole`` only documents with hits."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    along = whole and bool(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -110,9 +111,9 @@ def _spans(docs: DataFrame, kind: str, items: list[tuple[int, bytes | None]], wi
                     starts.append([s for s, _ in spans])
                     ends.append([e for _, e in spans])
                     found.append([known[k][0] for k in sorted(hit)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), *(batch.columns[2:] if whole else ())], ["id", "n_words", "starts", "ends", "items", *(batch.schema.names[2:] if whole else ())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), *(batch.columns[1:] if along else ())], ["id", "n_words", "starts", "ends", "items", *(batch.schema.names[1:] if along else ())])
 
-    return docs.mapInArrow(run, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>" + kind * whole)
+    return docs.mapInArrow(run, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>" + (f", body binary, carried {kind}" if along else ""))
 
 
 def _digest(ids: list[int]) -> tuple[int, str]:
@@ -142,15 +143,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             one = _spans(bodies, kind, rows, window, False)
             hits = one if hits is None else hits.unionByName(one)
         hits = hits.groupBy("id", "n_words").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
-        rows = bodies.mapInArrow(_counted, "id bigint, n_words bigint" + kind)
+        rows = bodies.mapInArrow(_counted, "id bigint, n_words bigint" + (f", body binary, carried {kind}" if kind else ""))
         spans = rows.join(hits, ["id", "n_words"], "left").select("id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<bigint>"))], *rows.columns[2:])
-    return spans.mapInArrow(_finish, "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean" + kind).withColumnRenamed("id", id_col)
+    out = spans.mapInArrow(_finish, "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean" + (f", body binary, carried {kind}" if kind else ""))
+    return carried(out, carry, text_col).withColumnRenamed("id", id_col)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = [len(fold_words(x)) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *b.columns[2:]], ["id", "n_words", *b.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(b.columns[1:] if b.num_columns > 2 else ())], ["id", "n_words", *(b.schema.names[1:] if b.num_columns > 2 else ())])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

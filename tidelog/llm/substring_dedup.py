@@ -209,5 +209,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = same.select("id", "at", "words").distinct().groupBy("id").agg(F.collect_list(F.struct("at", "words")).alias("spans"))
     whole, kind = texts(docs, id_col, text_col, carry)
     out = whole.join(gone, "id", "left").select("id", "body", "spans", *whole.columns[2:])
-    out = out.mapInArrow(_cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary, starts array<int>, ends array<int>" + kind)
+    out = out.mapInArrow(_cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary, starts array<int>, ends array<int>" + (f", carried {kind}" if carry else ""))
     return out.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import texts
+from tidelog.llm.common import carried, texts
 
 #: Groups of identity terms; a term's counterfactual is the next one of its group.
 IDENTITY = (
@@ -152,6 +152,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         memo: dict[bytes, tuple[int, ...]] = {}
         for b in batches:
             scores = []
+            along = b.columns[1:] if b.num_columns > 2 else []
             for body in b.column("body").to_pylist():
                 slots: set[int] = set()
                 for w in words_of(body):
@@ -164,10 +165,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                         slots.update(s)
                 z = bias + float(weights[list(slots)].astype(np.float64).sum()) if slots else bias
                 scores.append(1 / (1 + float(np.exp(-max(-500.0, min(500.0, z))))))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]], ["id", "score", "predicted", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *along], ["id", "score", "predicted", *(["body", "carried"] if along else [])])
 
     rows, kind = texts(docs, id_col, text_col, carry)
-    return rows.mapInArrow(run, "id bigint, score double, predicted int" + kind).withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, "id bigint, score double, predicted int" + (f", body binary, carried {kind}" if carry else ""))
+    return carried(out, carry, text_col).withColumnRenamed("id", id_col)
 
 
 def remainder(id_col: str, m: int):
