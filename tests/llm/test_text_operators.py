@@ -403,3 +403,13 @@ def test_pipeline_takes_nulls(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA).cache()
         assert docs.count() == 3, name
+
+
+def test_cleanup(spark):
+    from tidelog.llm.common import cleanup, stored
+
+    df = stored(frame(spark, [(1, "a")]))
+    assert df.count() == 1
+    cleanup(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        df.count()

@@ -70,14 +70,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage is cut and the rows outlive lost executors."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage is cut and the rows outlive lost executors.
+
+    Results are lazy and may read these files later, so they stay until ``cleanup`` or until the folder is removed with the application's other files.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes what this application's operators have stored; to be called when their results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser (multiply and xor-shift), to spread hash values."""
     x = x.astype(np.uint64, copy=True)

@@ -121,7 +121,7 @@ class PieceCodec:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 4 * MEMO:
+            if len(self.fits) >= MEMO:
                 self.fits.clear()
             known = self.fits[key] = self.merged(left + right) == [left, right]
         return known
@@ -197,6 +197,12 @@ class PieceCodec:
         each = list(map(self.memo.__getitem__, self.words(body)))
         return b",".join([x for x, _ in each]), b"".join([x for _, x in each])[1:]
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.memo.clear()
+        self.tails.clear()
+        self.fits.clear()
+
     def encode(self, text: str) -> list[int]:
         csv = self.both(text.encode())[0]
         return [int(x) for x in csv.split(b",")] if csv else []
@@ -234,9 +240,15 @@ def piece_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model or model_path())
+        try:
+            yield from encoded(c, batches)
+        finally:  # workers outlive tasks
+            c.forget()
+
+    def encoded(c: PieceCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 counts, id_hash, back_hash, ids, decoded = [], [], [], [], []
                 for body in part.column(1).to_pylist():
                     csv, back = c.both(body or b"")

@@ -158,7 +158,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 for w in words_of(body):
                     s = memo.get(w)
                     if s is None:
-                        if len(memo) >= 200_000:
+                        if len(memo) >= 100_000:
                             memo.clear()
                         s = memo[w] = tuple([x for x in word_slots(w) if live[x]])
                     if s:
