@@ -74,3 +74,9 @@ def test_scalars(spark):
     got = {r.fraction: r.value for r in percentile_lower(values, "v", [0.0, 0.5, 0.95, 1.0]).collect()}
     assert got == {0.0: 1.0, 0.5: 3.0, 0.95: 4.0, 1.0: 5.0}
     assert percentile_lower(values.limit(0), "v", [0.5]).isEmpty()
+
+
+def test_flush_level():
+    state = State(files={f.path: f for f in [made(1, 1, "m", "p"), made(2, 2, "a", "b"), made(3, 3, "x", "z", 30 << 20)]})
+    flat = lambda low, high: picking.flush_level(state, low.encode().hex(), high.encode().hex())
+    assert [flat("n", "o"), flat("a", "c"), flat("f", "g"), flat("x", "y")] == [0, 1, 2, 1]

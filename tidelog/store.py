@@ -25,7 +25,7 @@ from tidelog.operators import cursor
 from tidelog.operators import files as policy
 from tidelog.operators import visibility as vis
 from tidelog.plans import picking
-from tidelog.schema import DELETE, PUT, InvalidArgument, NotFound, StoreIOError, log_schema, sort_key
+from tidelog.schema import PUT, InvalidArgument, NotFound, StoreIOError, log_schema, sort_key
 from tidelog.snapshot import Snapshot, SnapshotRegistry
 from tidelog.sources.commits import CommitLog, DataFile, Folder, State
 
@@ -199,18 +199,19 @@ class Database:
         rows = rows.select("key", (F.col("seq") + F.col("base")).alias("seq"), "op", "value")
         return rows.where(F.col("seq") <= sequence) if any(f.largest_seq > sequence for f in chosen) else rows
 
-    def scan(self, snapshot: Snapshot | None = None, low=None, high=None) -> DataFrame:
-        """Live rows ``key, seq, value`` with keys in ``[low, high)``."""
-        return cursor.scan_range(self.log(snapshot, low, high), low, high)
+    def scan(self, snapshot: Snapshot | None = None, low=None, high=None, fill_cache: bool = False) -> DataFrame:
+        """Live rows ``key, seq, value`` with keys in ``[low, high)``; with ``fill_cache`` Spark keeps them for later reads."""
+        rows = cursor.scan_range(self.log(snapshot, low, high), low, high)
+        return rows.persist() if fill_cache else rows
 
     def iterate(self, snapshot: Snapshot | None = None, low=None, high=None, reverse: bool = False):
         """Live rows in key order, one after another; partitions come to the driver one at a time."""
         by = sort_key(self.state.comparator)
         return self.scan(snapshot, low, high).orderBy(by.desc() if reverse else by).toLocalIterator()
 
-    def get(self, key, snapshot: Snapshot | None = None):
+    def get(self, key, snapshot: Snapshot | None = None, verify_checksums: bool = False):
         """The value; raises NotFound when the key is absent or deleted."""
-        row = vis.get(self.log(snapshot, key, key), key).first()
+        row = vis.get(self.log(snapshot, key, key, verify_checksums=verify_checksums), key).first()
         if row is None:
             raise NotFound(f"{key!r}")
         return bytes(row.value) if isinstance(row.value, bytearray) else row.value
