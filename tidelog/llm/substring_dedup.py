@@ -46,14 +46,11 @@ def _pieces(window: int):
                     continue
                 small = grams(w.hashes, anchor, 0x8EBC6AF09C88C6E3)
                 edge = grams(w.hashes, window, 0x589965CC75374CC3)[at]
-                best, where = small[at], at.copy()
+                best = small[at]
                 for k in range(1, reach):
-                    other = small[at + k]
-                    less = other < best
-                    best = np.where(less, other, best)
-                    where[less] = at[less] + k
-                new = np.ones(len(at), bool)
-                new[1:] = (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)
+                    np.minimum(best, small[at + k], out=best)
+                new = np.ones(len(at), bool)  # also where a word repeats over and over, its windows are one piece
+                new[1:] = (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)
                 first = np.flatnonzero(new)
                 row = w.row[at[first]]
                 raw = edge.view(np.uint8).reshape(-1, 8)[:, :EDGE_BYTES].tobytes()
@@ -193,7 +190,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word goes when a window of ``window`` words that covers it also starts in a document with a smaller id; all windows
     are judged on the input. ``kept`` joins the kept words by a blank; a text that loses nothing stays as it is. Null and
     empty texts have no words (the hash of nothing; ``kept`` null or empty). Rows with equal id count as one document
-    for the order: none of them takes words from another. Rows without id lose nothing. Extra columns are left
+    for the order: none of them takes words from another (rows that repeat an id are expected to repeat its text). Rows without id lose nothing. Extra columns are left
     out, but for those in ``carry``, which come back as the fields of ``carried``.
     A path whose digest differs from its source's (a hash collision) is not removed.
     """
