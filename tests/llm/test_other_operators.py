@@ -7,8 +7,6 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from tidelog.llm import embedding_dedup, html_text, queries, url_filter
 
 DATA = "/root/testdata/sf0.001"
@@ -80,12 +78,16 @@ def test_url_filter(spark):
     }
 
 
-def test_url_filter_as_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_as_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    expected = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE['op8_url_filter']}) ORDER BY page_id").fetchall()
-    assert [tuple(r) for r in queries.op8_url_filter(spark, DATA).orderBy("page_id").collect()] == expected
+    df = queries.queries()[name](spark, DATA)
+    result = con.execute(queries.ORACLE[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
 
 
 def brute(rows, cosine):

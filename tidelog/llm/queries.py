@@ -78,4 +78,43 @@ def _op8_sql() -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {action} WHEN {hit} >= {SOFT_DISTINCT} THEN 'block' ELSE 'allow' END AS verdict FROM v"""
 
 
-ORACLE: dict[str, str] = {"op8_url_filter": _op8_sql()}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_OP1 = f"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_WORDS}), []) AS words FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
+ f AS (SELECT gram, min(doc_id) AS source FROM g GROUP BY gram),
+ p AS (SELECT doc_id, words[i] AS word, i FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+ m AS (SELECT p.doc_id, p.i, p.word, max(CASE WHEN f.source < p.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+   FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i LEFT JOIN f ON f.gram = g.gram),
+ k AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM m GROUP BY doc_id)
+ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+_OP4 = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_WORDS}), []) AS words FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+ r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = w.doc_id"""
+
+_OP7 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+ c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+ SELECT c.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN d ON d.a = c.vec_id"""
+
+_ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_OP10 = f"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_ITEM_WORDS}), []) AS words FROM documents),
+ b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_ITEM_WORDS}), []) AS words FROM benchmark),
+ p AS (SELECT DISTINCT item_id, least(len(words), 13) AS m, array_to_string(words[i:i + 12], ' ') AS gram FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 11, 2))) AS i FROM b WHERE len(words) > 0)),
+ g AS (SELECT doc_id, m, i, array_to_string(words[i:i + m - 1], ' ') AS gram FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p) WHERE len(words) >= m)),
+ h AS (SELECT g.doc_id, g.i, g.m, p.item_id FROM g JOIN p ON p.m = g.m AND p.gram = g.gram),
+ c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM h) GROUP BY doc_id),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_ngram_join": _OP4, "op7_embedding_dedup": _OP7, "op8_url_filter": _op8_sql(), "op10_decontamination": _OP10}
