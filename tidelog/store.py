@@ -149,7 +149,7 @@ class Database:
     def _append(self, rows: DataFrame, width: int, stream: tuple[str, int] | None = None) -> int:
         temporary = f"data/pending-{uuid.uuid4().hex}"
         ordered = rows.select("key", F.col("ord").cast("bigint").alias("seq"), "op", "value").sortWithinPartitions("key", F.col("seq").desc())
-        self._write(ordered, temporary)
+        self._write(ordered, temporary, width if width < 10_000 else -(-width // max(1, rows.rdd.getNumPartitions())))
         found = self._stats(temporary)
         for _ in range(RETRIES):
             base = self.state.last_sequence + 1
@@ -170,9 +170,11 @@ class Database:
                 return self.state.last_sequence
         raise StoreIOError(f"{RETRIES} other writers came first")
 
-    def _write(self, rows: DataFrame, where: str) -> None:
+    def _write(self, rows: DataFrame, where: str, keys: int) -> None:
+        """``keys``: about how many a file will hold; its bloom filter is sized by that (else every small commit would carry one of a megabyte)."""
+        blooms = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(max(1, keys))}
         try:
-            rows.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{where}")
+            rows.write.options(**blooms).parquet(f"{self.path}/{where}")
         except Exception as e:
             raise StoreIOError(f"writing {where} failed: {e}") from e
 
@@ -306,9 +308,10 @@ class Database:
             kwargs = {"deeper": ranges, "deeper_keys": self.log(files=deeper).select("key").distinct(), "n_deeper": len(deeper)}
         kept = gc.compact(inputs, watermark, **kwargs)
         size = sum(f.size for f in plan.inputs)
-        dealt = kept.repartitionByRange(max(1, -(-size // FILE_BYTES)), "key").sortWithinPartitions("key", F.col("seq").desc())
+        parts = max(1, -(-size // FILE_BYTES))
+        dealt = kept.repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("seq").desc())
         name = f"data/base=0/{uuid.uuid4().hex}"
-        self._write(dealt, name)
+        self._write(dealt, name, -(-sum(f.rows for f in plan.inputs) // parts))
         found = self._stats(name)
         for _ in range(RETRIES):
             added = [self._file(f, name, plan.target, self.state.next_file + i, 0) for i, f in enumerate(found)]
