@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
-#: Rows of one Arrow batch; texts can be long, and a task holds a batch several times over.
-BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of one Arrow batch at most; rows can be long, and a task holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches smaller, if they are larger than the bounds above."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = "".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-")
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(name, str(most))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """``id`` (bigint) and ``body`` (UTF-8 bytes, null for null) only, so that other columns, whatever their names, stay out.
 
     The columns in ``carry``, but for the text itself, come along as one struct, ``carried``; the second result is its type.
-    The session's Arrow batches are made smaller if they are larger than ``BATCH_ROWS``.
+    The session's Arrow batches are made small.
     """
-    spark = df.sparkSession
-    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     columns = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("body")]
     if not carry:
         return df.select(*columns), ""

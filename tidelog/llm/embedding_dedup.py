@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored
+from tidelog.llm.common import small_batches, stored
 from tidelog.llm.components import components
 
 AXES = 4
@@ -226,6 +226,7 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     if not 0 < cosine <= 1:
         raise ValueError("the cosine must be above 0 and at most 1")
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     units = stored(rows.mapInArrow(_clean, "id bigint, label string, digest binary, unit binary"), "units")
     classes = stored(units.groupBy("label", "digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "vectors")
