@@ -75,6 +75,16 @@ def test_snapshots(spark, table):
     assert db.log().count() == 4 and rows(db)[-1] == (b"x", b"y")
 
 
+def test_changes(spark, table):
+    db = Database.open(spark, table, create_if_missing=True)
+    for k in (b"a", b"b", b"c"):
+        db.put(k, k)
+    seen = db.snapshot()
+    db.delete(b"a")
+    assert [(r.seq, r.op) for r in db.changes(2).orderBy("seq").collect()] == [(3, 1), (4, 0)]
+    assert [r.seq for r in db.changes(1, seen).orderBy("seq").collect()] == [2, 3] and db.changes(4).isEmpty()
+
+
 def test_uncommitted_files_are_invisible(spark, table):
     db = Database.open(spark, table, create_if_missing=True)
     db.put(b"stable", b"1")

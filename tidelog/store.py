@@ -205,6 +205,11 @@ class Database:
         rows = rows.select("key", (F.col("seq") + F.col("base")).alias("seq"), "op", "value")
         return rows.where(F.col("seq") <= sequence) if any(f.largest_seq > sequence for f in chosen) else rows
 
+    def changes(self, since: int, snapshot: Snapshot | None = None) -> DataFrame:
+        """Versions above sequence ``since``, tombstones included, of files that may hold any; versions that a compaction dropped are gone."""
+        rows = self.log(snapshot, files=[f for f in self.state.files.values() if f.largest_seq > since])
+        return rows.where(F.col("seq") > since)
+
     def scan(self, snapshot: Snapshot | None = None, low=None, high=None, fill_cache: bool = False) -> DataFrame:
         """Live rows ``key, seq, value`` with keys in ``[low, high)``; with ``fill_cache`` Spark keeps them for later reads."""
         rows = cursor.scan_range(self.log(snapshot, low, high), low, high)
