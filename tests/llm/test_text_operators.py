@@ -289,6 +289,21 @@ def test_sentencepiece_random():
         assert codec.encode(t) == model.encode(t)
 
 
+def test_sentencepiece_pieces_over_a_punctuation_tail():
+    """Pieces that hold a character beyond ASCII and then a mark: ``”.``, ``»,``, ``…]`` and the like."""
+    import sentencepiece as library
+
+    model = library.SentencePieceProcessor(model_file=sentencepiece.model_path())
+    codec = sentencepiece.codec(sentencepiece.model_path())
+    over = sorted(p for p in codec.ids if re.search(r"[^\x00-\x7f▁][!-/:-@\[-`{-~\n]", p))
+    assert "”." in over and "»," in over
+    texts = ["he said “yes”."] + [f"{a}{p}{b}" for p in over for a in ("", "yes", "été", "日") for b in ("", ".", " x", "?!")]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice(["a", "be", "é", " ", "日", "“", "”", ".", ",", "\n", *over]) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    for t in texts:
+        assert codec.encode(t) == model.encode(t), t
+
+
 # ---- 9
 
 

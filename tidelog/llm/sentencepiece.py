@@ -170,9 +170,13 @@ class PieceCodec:
 
     def _both(self, key: bytes) -> tuple[bytes, bytes]:
         """Ids as text, and what they decode to, of a word; ``key`` is the word without its first blank."""
-        if (cut := _TAIL.search(key)) and (at := cut.start()) and key[at - 1] != 32 and (key[at - 1 : at + 1].decode("ascii", "replace") not in self.joined):
-            head, tail = self.memo[key[:at]], self.tails[key[at:]]  # no piece holds these two characters side by side
-            return head[0] + b"," + tail[0], head[1] + tail[1]
+        if (cut := _TAIL.search(key)) and (at := cut.start()) and key[at - 1] != 32:
+            last = at - 1
+            while key[last] & 0xC0 == 0x80:  # to the first byte of the head's last character
+                last -= 1
+            if key[last : at + 1].decode() not in self.joined:  # no piece holds these two characters side by side
+                head, tail = self.memo[key[:at]], self.tails[key[at:]]
+                return head[0] + b"," + tail[0], head[1] + tail[1]
         return self._ids(self.word(MARK + key.decode().replace(" ", MARK)))
 
     def _tail(self, key: bytes) -> tuple[bytes, bytes]:
