@@ -143,6 +143,19 @@ def test_suffix_tree_is_a_distribution(spark):
     assert [(r.held_out, r.train_tokens, r.n_known) for r in none] == [(None, 0, 0)] * 2
 
 
+@pytest.mark.parametrize("size", [100 << 20, 3 << 30])
+def test_suffix_tree_scores_do_not_depend_on_the_input_size(spark, monkeypatch, size):
+    """Contexts that would overfill a counting task pass the same test as others, so a larger estimate changes no score."""
+    rng = random.Random(9)
+    common = lambda: " ".join(rng.choice("the of and in to a".split()) for _ in range(8))
+    rows = documents() + [(10_000 + i, f"{common()} r{rng.randrange(400)} {common()}") for i in range(300)]
+    scores = lambda: {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(frame(spark, rows)).collect()}
+    small = scores()
+    monkeypatch.setattr(suffix_tree, "input_bytes", lambda df: size)
+    large = scores()
+    assert small.keys() == large.keys() and all(math.isclose(small[i], large[i], rel_tol=1e-9) for i in small)
+
+
 # ---- 4
 
 

@@ -9,7 +9,8 @@ counts with its parent's probability, so each is a distribution.
 Documents are packed into blocks. Every block sends the distinct n-grams of its texts with its counts, cut by hash, to counting tasks,
 which add up all blocks' counts, test the contexts and answer every block for the n-grams it asked for. No table of the corpus
 is ever held in one place; only words that make up a 65,536th of all tokens (at most so many) are broadcast. Contexts that would
-overfill a counting task are spread over several by the next token; such frequent ones are kept without a test.
+overfill a counting task are spread over several by the next token; each adds up its share of the test, and the sums of these few
+(each holds more than a task's share of all tokens) decide for all.
 """
 
 from __future__ import annotations
@@ -119,15 +120,17 @@ class Block:
 class Grams:
     """The n-grams of one order in a block, sorted by context and next token."""
 
-    def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None):
+    def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None, pairs: np.ndarray | None = None):
+        """``pairs``, for order 2: for each token the count of it and its predecessor, where that predecessor is frequent."""
         at = np.flatnonzero(block.place >= order if allowed is None else allowed & (block.place >= order))
         self.at = at
         shares = block.shares(top)
         before = block.back[at - 1]
-        share = shares[before]
-        if order == 2:
+        if order == 1:
+            share = np.where(shares[before] > 1 / SHARE, shares[before], 0.0)
+        else:
             earlier = block.back[at - 2]
-            share = np.minimum(share, shares[earlier])
+            share = pairs[at - 1] / top.total
         spread = np.ceil(share * (4 << bits)).astype(np.uint64)  # a frequent context's tokens go to so many tasks
         self.hot = spread > 4
         hot = np.flatnonzero(self.hot)
@@ -136,7 +139,8 @@ class Grams:
             plain, which = block.keys, before
         else:
             plain, which = np.unique(mix64(block.keys[earlier] ^ _PAIR) + block.keys[before], return_inverse=True)
-        apart, which_hot = np.unique(mix64(plain[which[hot]] + block.token[at[hot]] % spread[hot] + np.uint64(1)), return_inverse=True)
+        plain_hot = plain[which[hot]]
+        apart, which_hot = np.unique(mix64(plain_hot + block.token[at[hot]] % spread[hot] + np.uint64(1)), return_inverse=True)
         which = which.copy()
         which[hot] = len(plain) + which_hot
         both = np.concatenate([plain, apart])
@@ -146,6 +150,9 @@ class Grams:
         number[used] = np.arange(len(used))
         self.contexts, which = both[used], number[which]
         self.hot_context = used >= len(plain)
+        whole = np.zeros(len(apart), np.uint64)
+        whole[which_hot] = plain_hot
+        self.whole = whole[used[self.hot_context] - len(plain)]  # the contexts that frequent ones' shares belong to
         token = block.token[at]
         key = which.astype(np.uint64) << np.uint64(32) | mix64(token ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
         keys, first, self.back = np.unique(key, return_index=True, return_inverse=True)
@@ -161,19 +168,20 @@ class Grams:
         per = np.bincount(self.of, minlength=len(self.contexts)).astype(np.uint32)
         short = self.contexts << np.uint64(bits) >> np.uint64(24)
         five = short.view(np.uint8).reshape(-1, 8)[:, :5]
+        hot_edges = np.concatenate([[0], np.cumsum(self.hot_context)])[edges]
         for p in range(len(edges) - 1):
             a, b = edges[p], edges[p + 1]
             if a < b:
                 i, j = item_edges[p], item_edges[p + 1]
-                yield p, name, five[a:b].tobytes(), _pack(per[a:b]), np.packbits(self.hot_context[a:b]).tobytes(), self.item[i:j].tobytes(), _pack(self.count[i:j]), _pack(self.level[i:j])
+                yield p, name, five[a:b].tobytes(), _pack(per[a:b]), np.packbits(self.hot_context[a:b]).tobytes(), self.whole[hot_edges[p] : hot_edges[p + 1]].tobytes(), self.item[i:j].tobytes(), _pack(self.count[i:j]), _pack(self.level[i:j])
 
 
-_REQUEST = "part int, block bigint, contexts binary, sizes binary, hot binary, items binary, counts binary, levels binary"
+_REQUEST = "part int, block bigint, contexts binary, sizes binary, hot binary, whole binary, items binary, counts binary, levels binary"
 
 
 def _request_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    names = ["part", "block", "contexts", "sizes", "hot", "items", "counts", "levels"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    names = ["part", "block", "contexts", "sizes", "hot", "whole", "items", "counts", "levels"]
     return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
@@ -242,8 +250,28 @@ def _count_words(bits: int):
     return run
 
 
+def _diverges(sums: np.ndarray, n: np.ndarray, mu: float) -> np.ndarray:
+    """The test of contexts with ``n`` next tokens: ``sums`` are of c * log((c - 1) / prior + mu) over their items."""
+    return (sums - n * np.log((n - 1 + mu).clip(min=mu)) > MARGIN) & (n >= 2)
+
+
+def _frequent_kept(grams: DataFrame, kind: int) -> np.ndarray:
+    """Sorted hashes of the frequent contexts that pass the test; fewer than there are counting tasks."""
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                whole, n, sums = np.frombuffer(raw, np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(n.view(np.float64)), pa.array(sums.view(np.float64))], ["whole", "n", "sums"])
+
+    rows = grams.where("kind = 0").select("answer").mapInArrow(shares, "whole bigint, n double, sums double")
+    each = rows.groupBy("whole").agg(F.sum("n").alias("n"), F.sum("sums").alias("sums")).collect()
+    whole, n, sums = np.array([r.whole for r in each], np.int64).view(np.uint64), np.array([r.n for r in each], np.float64), np.array([r.sums for r in each], np.float64)
+    return np.sort(whole[_diverges(sums, n, WEIGHT[kind - 1])])
+
+
 def _count_grams(kind: int):
-    """Adds up one part's n-grams, tests the contexts, and answers each block."""
+    """Adds up one part's n-grams, tests the contexts, and answers each block. Kind 0: what this part adds to the test of frequent contexts."""
     mu = WEIGHT[kind - 1]
 
     def run(table: pa.Table) -> pa.Table:
@@ -262,10 +290,14 @@ def _count_grams(kind: int):
         n = np.bincount(owner, c, len(known))
         prior = 2.0 ** (-levels[first].astype(np.float64) / 8)
         seen = np.maximum(c, 1)
-        gain = c * np.log(((seen - 1) / prior + mu) / (n[owner] - 1 + mu).clip(min=mu))
-        keep = (np.bincount(owner, gain, len(known)) > MARGIN) & (n >= 2)
-        keep[which[hot]] = True
+        sums = np.bincount(owner, c * np.log((seen - 1) / prior + mu), len(known))
+        keep = _diverges(sums, n, mu)
+        keep[which[hot]] = True  # blocks get their counts; the sums over all parts decide
         out, at, item_at = [], 0, 0
+        if hot.any():
+            apart, first_hot = np.unique(which[hot], return_index=True)
+            whole = np.concatenate([np.frombuffer(r, np.uint64) for r in table.column("whole").to_pylist()])[first_hot]
+            out.append((-1, 0, part, whole.tobytes() + n[apart].astype(np.float64).tobytes() + sums[apart].tobytes()))
         for name, own, size in zip(table.column("block").to_pylist(), contexts, sizes):
             w = which[at : at + len(own)]
             kept = keep[w]
@@ -281,8 +313,8 @@ def _count_grams(kind: int):
     return run
 
 
-def _read(grams: Grams, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From a block's answers: kept flag and total of each context, count of each item."""
+def _read(grams: Grams, answers: dict[int, bytes], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From a block's answers: kept flag and total of each context, count of each item. ``frequent``: the frequent contexts that are kept."""
     kept, total, count = np.zeros(len(grams.contexts), bool), np.zeros(len(grams.contexts)), np.zeros(len(grams.of))
     edges = np.append(grams.edges, len(grams.contexts))
     item_edges = np.searchsorted(grams.of, edges)
@@ -296,6 +328,7 @@ def _read(grams: Grams, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarr
         total[a:b][own] = numbers[: own.sum()]
         mask = own[grams.of[i:j] - a]
         count[i:j][mask] = numbers[own.sum() :]
+    kept[grams.hot_context] = np.isin(grams.whole, frequent)
     return kept, total, count
 
 
@@ -313,6 +346,13 @@ def _below_kept(block: Block, grams: Grams, kept: np.ndarray) -> np.ndarray:
     return allowed
 
 
+def _pair_counts(block: Block, grams: Grams, got: np.ndarray) -> np.ndarray:
+    """For each token the count of it and its predecessor, where answered: below kept or frequent predecessors."""
+    out = np.zeros(len(block.token))
+    out[grams.at] = got[grams.back]
+    return out
+
+
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10 probabilities of the text).
 
@@ -338,18 +378,22 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield from _request_table(list(Grams(b, 1, top, bits).requests(b.name, bits))).to_batches()
 
     pairs = stored(blocks.mapInArrow(ask_pairs, _REQUEST).groupBy("part").applyInArrow(_count_grams(2), _ANSWER), "pairs")
+    often = spark.sparkContext.broadcast(_frequent_kept(pairs, 2).tobytes())
+    pairs = pairs.where("kind = 2")
 
     def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
         top, rows = Top(*numbers.value), []
         for row in left.to_pylist():
             b = Block(row)
             one = Grams(b, 1, top, bits)
-            kept = _read(one, _by_kind(right)[2])[0]
-            rows += Grams(b, 2, top, bits, _below_kept(b, one, kept)).requests(b.name, bits)
+            kept, _, got = _read(one, _by_kind(right)[2], np.frombuffer(often.value, np.uint64))
+            rows += Grams(b, 2, top, bits, _below_kept(b, one, kept), _pair_counts(b, one, got)).requests(b.name, bits)
         return _request_table(rows)
 
     triples = blocks.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_triples, _REQUEST)
     triples = stored(triples.groupBy("part").applyInArrow(_count_grams(3), _ANSWER), "triples")
+    often_two = spark.sparkContext.broadcast(_frequent_kept(triples, 3).tobytes())
+    triples = triples.where("kind = 3")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         top, out = Top(*numbers.value), []
@@ -359,19 +403,18 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             count = np.concatenate([_unpack(answers[1][p], np.uint32) for p in sorted(answers[1])]).astype(np.float64)[b.back]
             base = (count + 1) / (total + distinct + 1)
             one = Grams(b, 1, top, bits)
-            kept, sums, got = _read(one, answers[2])
+            kept, sums, got = _read(one, answers[2], np.frombuffer(often.value, np.uint64))
             p = base.copy()
             context_count = np.zeros(len(base))
-            pair_count = np.zeros(len(base))
+            pair_count = _pair_counts(b, one, got)
             context_count[one.at] = np.where(one.hot, count[one.at - 1], sums[one.of[one.back]])
-            pair_count[one.at] = got[one.back]
             use = _below_kept(b, one, kept)
             p[use] = (pair_count[use] + WEIGHT[1] * base[use]) / (context_count[use] + WEIGHT[1])
-            two = Grams(b, 2, top, bits, use)
-            kept2, sums2, got2 = _read(two, answers[3])
+            two = Grams(b, 2, top, bits, use, pair_count)
+            kept2, sums2, got2 = _read(two, answers[3], np.frombuffer(often_two.value, np.uint64))
             on = kept2[two.of[two.back]]
             at = two.at[on]
-            # A spread context's own total is the count of its two words, when that was answered.
+            # A spread context's own total is the count of its two words, which is answered for every frequent first word.
             totals = np.where(two.hot[on], pair_count[at - 1], sums2[two.of[two.back]][on])
             fine = totals >= got2[two.back][on]
             at, totals, c2 = at[fine], totals[fine], got2[two.back][on][fine]
