@@ -143,6 +143,50 @@ def test_suffix_tree_is_a_distribution(spark):
     assert [(r.held_out, r.train_tokens, r.n_known) for r in none] == [(None, 0, 0)] * 2
 
 
+def test_suffix_tree_contexts_are_tested_against_their_parents(spark):
+    """Scores as by the definition; a context of two words must diverge from that of its last word, not only from the root."""
+    rng = random.Random(12)
+    # "z" has next words of its own and "y z" the same ones, so "y z" is no state; "p q" has others than "q".
+    rows = [(i, " ".join(rng.choice([f"y z {rng.choice('abcd')}", f"x z {rng.choice('abcd')}", f"p q {rng.choice('ef')}", f"r q {rng.choice('gh')}", f"u{rng.randrange(60)}"]) for _ in range(12))) for i in range(200)]
+    tokens = {i: words(t) + [None] for i, t in rows}
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(w)
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
+    n, v = sum(one.values()), len(one)
+    eighth = lambda p: 2 ** (-min(255, round(-8 * math.log2(p))) / 8)
+    share = lambda x: one[x] / n if one[x] else 1 / suffix_tree.SHARE
+
+    def nodes(grams, mu, parent):
+        below, kept = collections.defaultdict(dict), {}
+        for g, c in grams.items():
+            below[g[:-1]][g] = c
+        for context, items in below.items():
+            total = sum(items.values())
+            if total > 1 and sum(c * math.log(((c - 1) / eighth(parent(g)) + mu) / (total - 1 + mu)) for g, c in items.items()) > suffix_tree.MARGIN:
+                kept[context] = total
+        return kept
+
+    short = nodes(two, 4, lambda g: share(g[1]))
+    below_q = {g: c for g, c in three.items() if g[1:2] in short}
+    after_one = lambda g, p: (two[g] + 4 * p) / (short[g[:1]] + 4)
+    long = nodes(below_q, 2, lambda g: after_one(g[1:], share(g[2])))
+    assert (b"z",) in short and (b"p", b"q") in long and (b"y", b"z") not in long
+    got = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(frame(spark, rows)).collect()}
+    for i, w in tokens.items():
+        score = 0.0
+        for k, x in enumerate(w):
+            p = (one[x] + 1) / (n + v + 1)
+            if k and (w[k - 1],) in short:
+                p = after_one((w[k - 1], x), p)
+                if k > 1 and (total := long.get((w[k - 2], w[k - 1]))):
+                    p = (three[w[k - 2], w[k - 1], x] + 2 * p) / (total + 2)
+            score += math.log10(p)
+        assert math.isclose(got[i].score, score, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("size", [100 << 20, 3 << 30])
 def test_suffix_tree_scores_do_not_depend_on_the_input_size(spark, monkeypatch, size):
     """Contexts that would overfill a counting task pass the same test as others, so a larger estimate changes no score."""

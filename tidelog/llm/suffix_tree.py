@@ -120,8 +120,9 @@ class Block:
 class Grams:
     """The n-grams of one order in a block, sorted by context and next token."""
 
-    def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None, pairs: np.ndarray | None = None):
-        """``pairs``, for order 2: for each token the count of it and its predecessor, where that predecessor is frequent."""
+    def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None, pairs: np.ndarray | None = None, parent: np.ndarray | None = None):
+        """For order 2, ``pairs``: for each token the count of it and its predecessor, where that predecessor is frequent; ``parent``, where contexts are to be
+        tested: each token's probability below its predecessor (below the root it is its share)."""
         at = np.flatnonzero(block.place >= order if allowed is None else allowed & (block.place >= order))
         self.at = at
         shares = block.shares(top)
@@ -159,7 +160,7 @@ class Grams:
         self.of = (keys >> np.uint64(32)).astype(np.int64)  # each item's context
         self.item = keys.astype(np.uint32)
         self.count = np.bincount(self.back, block.weight[at], len(keys)).astype(np.uint32)
-        self.level = np.minimum(255, np.round(-8 * np.log2(shares[block.back[at[first]]]))).astype(np.uint8)
+        self.level = np.minimum(255, np.round(-8 * np.log2(shares[block.back[at[first]]] if parent is None else parent[at[first]]))).astype(np.uint8)
         self.edges = np.searchsorted(self.contexts, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
 
     def requests(self, name: int, bits: int) -> Iterator[tuple]:
@@ -386,8 +387,13 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for row in left.to_pylist():
             b = Block(row)
             one = Grams(b, 1, top, bits)
-            kept, _, got = _read(one, _by_kind(right)[2], np.frombuffer(often.value, np.uint64))
-            rows += Grams(b, 2, top, bits, _below_kept(b, one, kept), _pair_counts(b, one, got)).requests(b.name, bits)
+            kept, sums, got = _read(one, _by_kind(right)[2], np.frombuffer(often.value, np.uint64))
+            use, shares, pair_count = _below_kept(b, one, kept), b.shares(top)[b.back], _pair_counts(b, one, got)
+            # A frequent word's exact count is broadcast.
+            totals = np.ones(len(use))
+            totals[one.at] = np.where(one.hot, shares[one.at - 1] * top.total, sums[one.of[one.back]])
+            parent = np.where(use, (pair_count + WEIGHT[1] * shares) / (totals + WEIGHT[1]), 1.0)
+            rows += Grams(b, 2, top, bits, use, pair_count, parent).requests(b.name, bits)
         return _request_table(rows)
 
     triples = blocks.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_triples, _REQUEST)
