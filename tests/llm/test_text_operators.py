@@ -431,6 +431,15 @@ def test_decontamination_edges(spark):
     assert decontamination.contamination(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("carry", [(), ("body", "text")])
+def test_decontamination_by_blocks_keeps_rows_apart(spark, carry):
+    """Rows without id, and rows that share id and number of words, have their own hits, however large the benchmark."""
+    bench = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(9)], "item_id bigint, text string")
+    rows = [(None, "a1 b1 c1 x"), (None, "x y z w"), (5, "a2 b2 c2 x"), (5, "a3 b3 c3 x"), (5, "x y z w"), (5, "a2 b2 c2 x")]
+    one, many = (sorted(map(repr, decontamination.contamination(frame(spark, rows), bench, block_limit=limit, carry=carry).collect())) for limit in (16 << 20, 300))
+    assert one == many
+
+
 # ---- registration and pipeline
 
 

@@ -128,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an empty benchmark leaves all documents clean. Extra columns are left out, but for
     those in ``carry``, which come back as the fields of ``carried``. ``contaminated``: at least one word in
     twenty is covered. The benchmark is held in memory up to ``block_limit`` bytes; a larger one is written by blocks of that
-    size to the shared folder and searched block by block, the hits of a document are united. No shuffle for one block.
+    size to the shared folder, as the documents are with a key for each row, and searched block by block, the hits of a row are united. No shuffle for one block.
     """
     (bodies, kind), (items, _) = texts(docs, id_col, text_col, carry), texts(benchmark, item_col, item_text)
     size = items.agg(F.coalesce(F.sum(F.length("body") + 64), F.lit(0))).first()[0]
@@ -137,14 +137,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     else:
         blocks = -(-2 * size // block_limit)
         kept = stored(items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "benchmark")
+        keyed = stored(bodies.withColumn("row", F.monotonically_increasing_id()), "documents")  # ids may be null or repeat
         hits = None
         for b in range(blocks):
             rows = [(r.id, bytes(r.body) if r.body is not None else None) for r in kept.where(F.col("block") == b).collect()]
-            one = _spans(bodies, kind, rows, window, False)
+            one = _spans(keyed.select(F.col("row").alias("id"), "body"), kind, rows, window, False)
             hits = one if hits is None else hits.unionByName(one)
-        hits = hits.groupBy("id", "n_words").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
-        rows = bodies.mapInArrow(_counted, "id bigint, n_words bigint" + (f", body binary, carried {kind}" if kind else ""))
-        spans = rows.join(hits, ["id", "n_words"], "left").select("id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<bigint>"))], *rows.columns[2:])
+        hits = hits.groupBy(F.col("id").alias("row")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
+        rows = keyed.mapInArrow(_counted, "id bigint, n_words bigint, row bigint" + (f", body binary, carried {kind}" if kind else ""))
+        spans = rows.join(hits, "row", "left").select("id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<bigint>"))], *rows.columns[3:])
     out = spans.mapInArrow(_finish, "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean" + (f", body binary, carried {kind}" if kind else ""))
     return carried(out, carry, text_col).withColumnRenamed("id", id_col)
 
@@ -152,7 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = [len(fold_words(x)) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(b.columns[1:] if b.num_columns > 2 else ())], ["id", "n_words", *(b.schema.names[1:] if b.num_columns > 2 else ())])
+        along = ["body", "carried"] if b.num_columns > 3 else []
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(b.column(c) for c in ["row", *along])], ["id", "n_words", "row", *along])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
