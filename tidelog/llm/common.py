@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A default is set only where the session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = "file:///tmp/tidelog-shared"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -79,17 +83,63 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
 
 
+#: Spark's switch that removes a query's shuffle files as soon as it has ended.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned and run within leave no shuffle files behind; their results must be written or collected."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage is cut and the rows outlive lost executors.
 
     Results are lazy and may read these files later, so they stay until ``cleanup`` or until the folder is removed with the application's other files.
+    The step's shuffle files go when it has been written.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with released(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap of ids at most; beyond that it lets more rows through, which an exact join has to sort out anyway.
+ID_BITS = 1 << 30
+_PAGE = 1 << 15
+
+
+def id_bits(ids: DataFrame) -> tuple[object, int]:
+    """A broadcast bitmap of the hashes of the distinct ``id`` in ``ids``, and its number of bits: about 16 for an id, ``ID_BITS`` at most."""
+    spark = ids.sparkSession
+    with released(spark):
+        bits = min(ID_BITS, max(_PAGE, 1 << (16 * ids.count()).bit_length()))
+        at = ids.select(id_hash(F.col("id"), bits).alias("at"))
+        pages = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(_PAGE - 1)).alias("bits")).collect()
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in pages:
+        whole[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(whole.tobytes()), bits
+
+
+def id_hash(column, bits: int):
+    """The place of an id in a bitmap of ``bits`` bits."""
+    return F.xxhash64(column).bitwiseAND(bits - 1)
+
+
+def held(bitmap: bytes, at: np.ndarray) -> np.ndarray:
+    """Whether the places ``at`` are set."""
+    raw = np.frombuffer(bitmap, np.uint8)
+    return (raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def cleanup(spark: SparkSession) -> None:
     """Removes what this application's operators have stored; to be called when their results have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))

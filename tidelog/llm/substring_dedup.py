@@ -23,7 +23,7 @@ from tidelog.llm.common import parts, stored, texts
 from tidelog.llm.wordhash import grams, hashed
 
 WINDOW = 13
-ANCHOR = 6
+ANCHOR = 5
 #: Bytes of an edge's hash that travel, besides the eight of its minimizer.
 EDGE_BYTES = 5
 
@@ -179,7 +179,7 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = parts(bodies, factor=3)
     pieces = bodies.mapInArrow(_pieces(window), "key bigint, id bigint, at int, edges binary")
     dealt = pieces.repartition(n, "key").sortWithinPartitions("key", "id", "at")
-    found = dealt.mapInArrow(_sources, "id bigint, at int, n int, source bigint, source_at int")
+    found = stored(dealt.mapInArrow(_sources, "id bigint, at int, n int, source bigint, source_at int"), "pieces")
     lists = found.groupBy("id").agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias("pieces"))
     return lists.mapInArrow(_glue(window), "id bigint, at int, words int, source bigint, source_at int")
 
@@ -203,7 +203,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = digests.withColumnRenamed("digest", "own").groupBy("id", "at", "words").agg(F.min("own").alias("own"))
     there = digests.select(F.col("id").alias("source"), F.col("at").alias("source_at"), "words", "digest")
     same = paths.join(own, ["id", "at", "words"]).join(there, ["source", "source_at", "words"]).where(F.col("own") == F.col("digest"))
-    gone = same.select("id", "at", "words").distinct().groupBy("id").agg(F.collect_list(F.struct("at", "words")).alias("spans"))
+    gone = stored(same.select("id", "at", "words").distinct().groupBy("id").agg(F.collect_list(F.struct("at", "words")).alias("spans")), "gone")
     whole, kind = texts(docs, id_col, text_col, carry)
     out = whole.join(gone, "id", "left").select("id", "body", "spans", *whole.columns[2:])
     out = out.mapInArrow(_cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary, starts array<int>, ends array<int>" + (f", carried {kind}" if carry else ""))
