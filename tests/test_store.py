@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidelog.asyncdb import AsyncDatabase
 from tidelog.batch import WriteBatch, append_frames, sequenced, validate
+from tidelog.iterator import Cursor
 from tidelog.operators import visibility
 from tidelog.plans import picking, workloads
 from tidelog.schema import Corruption, InvalidArgument, NotFound
 from tidelog.snapshot import Snapshot
 from tidelog.sources.commits import CommitLog, Folder, State
-from tidelog.store import Database
+from tidelog.store import Database, Options
 from tidelog.streaming.ingest import ingest
 
 
@@ -228,3 +229,183 @@ def test_workloads(spark, tmp_path):
     assert workloads.durability_write(spark, f"{tmp_path}/w", 2)["commits"] == 2
     out = workloads.compaction_overlap(spark, f"{tmp_path}/c", 2, 50)
     assert out["same"] and out["compacted"]
+
+
+# ---- several handles, threads, cursors
+
+
+def test_snapshots_hold_against_other_handles(spark, table):
+    """A snapshot keeps its rows whatever another handle overwrites, compacts and removes, and whatever its own handle takes in."""
+    a = Database.open(spark, table, create_if_missing=True)
+    a.write(WriteBatch().put(b"k", b"old").put(b"gone", b"1"))
+    seen = a.snapshot()
+    b = Database.open(spark, table)
+    b.write(WriteBatch().put(b"k", b"new").delete(b"gone"))
+    assert b.oldest_snapshot() is None and b.watermark() == 2
+    assert b.compact(full=True)
+    b.vacuum()
+    a.put(b"other", b"2")  # takes in b's commits
+    assert a.get(b"k", seen) == b"old" and a.get(b"gone", seen) == b"1" and a.get(b"k") == b"new"
+    assert {bytes(r.value) for r in a.log().where("key = 'k'").collect()} == {b"old", b"new"}
+    seen.release()
+    assert b.refresh().last_sequence == b.watermark() == 5
+    b.compact(full=True)
+    assert len(b.vacuum()) > 0 and [k for k, _ in rows(b)] == [b"k", b"other"]
+    again = Database.open(spark, table)
+    assert again.log().count() == 2
+
+
+def test_snapshot_leases_end(spark, table):
+    a = Database.open(spark, table, create_if_missing=True, options=Options(snapshot_lease=0.0))
+    a.put(b"k", b"1")
+    seen = a.snapshot()
+    b = Database.open(spark, table)
+    b.put(b"k", b"2")
+    assert b.watermark() == 2 and a.watermark() == 1  # b no longer knows of it, its own handle does
+    b.vacuum()
+    assert not [n for n in a.folder.names("_snapshots")] and a.get(b"k", seen) == b"1"
+    held = Database.open(spark, table).snapshot()
+    del held  # dropped without release
+    c = Database.open(spark, table)
+    d = c.snapshot()
+    c.close()
+    with pytest.raises(InvalidArgument):
+        c.get(b"k", d)
+
+
+def test_bulk_load_keeps_every_row_of_any_input(spark, table):
+    """Range partitions are cut anew each time a frame is computed; what the commit says must be of the rows that were written."""
+    db = Database.open(spark, table, create_if_missing=True, key_type="string")
+    data = spark.range(3000).select(F.format_string("k%05d", "id").alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    last = 0
+    for k in range(20):
+        last_before, last = last, db.bulk_load(data.repartitionByRange(3 + k % 3, F.rand(), "key"))
+        written = db.changes(last_before)
+        found = written.agg(F.count("*"), F.count_distinct("seq"), F.max("seq")).first()
+        assert (found[0], found[1]) == (3000, 3000) and found[2] <= last
+    assert db.scan().count() == 3000
+    random_ = data.where(F.rand() < 0.5).select(F.monotonically_increasing_id().alias("ord"), F.lit(1).alias("op"), "key", "value").coalesce(1)
+    before = db.state.last_sequence
+    after = db.write_frame(random_)
+    assert db.changes(before).agg(F.max("seq")).first()[0] == after
+
+
+def test_bad_batches_leave_nothing(spark, table):
+    db = Database.open(spark, table, create_if_missing=True, key_type="string")
+    schema = "ord bigint, op int, key string, value binary"
+    for bad in ([(0, 7, "a", None)], [(0, 1, "a", None), (0, 1, "b", None)], [(-1, 1, "a", None)], [(0, 1, None, None)]):
+        with pytest.raises(Corruption):
+            db.write_frame(spark.createDataFrame(bad, schema))
+    assert db.write_frame(spark.createDataFrame([], schema)) == 0
+    assert db.state.last_sequence == 0 and not db.state.files and not [f for f, _ in db.folder.files("data")]
+
+
+def test_threads_share_a_handle(spark, table):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = Database.open(spark, table, create_if_missing=True)
+    with ThreadPoolExecutor(4) as pool:
+        done = [pool.submit(db.put, b"k%d" % i, b"v") for i in range(8)]
+        compacted = pool.submit(db.compact, None, True)
+        sequences = sorted(f.result() for f in done)
+        compacted.result()
+    assert sequences == list(range(1, 9)) and len(rows(db)) == 8 and db.state.commit == db.commits.head()
+
+
+def test_cursor(spark, table):
+    db = Database.open(spark, table, create_if_missing=True)
+    for part in (range(0, 20, 2), range(1, 20, 2)):
+        batch = WriteBatch()
+        for i in part:
+            batch.put(b"k%02d" % i, b"%d" % i)
+        db.write(batch)
+    db.write(WriteBatch().delete(b"k05").delete(b"k19").delete(b"k00"))
+    keys = [b"k%02d" % i for i in range(20) if i not in (0, 5, 19)]
+    for page in (1, 4, 256):
+        with Cursor(db, page=page) as c:
+            assert not c.valid
+            c.seek_to_first()
+            got = []
+            while c.valid:
+                got.append(c.key)
+                c.next()
+            assert got == keys
+            c.seek_to_last()
+            assert (c.key, c.value) == (b"k18", b"18")
+            c.prev()
+            c.prev()
+            assert c.key == b"k16"
+            c.next()
+            assert c.key == b"k17"
+            c.seek(b"k05")
+            assert c.key == b"k06" and c.sequence == 4
+            c.prev()
+            assert c.key == b"k04"
+            db.put(b"k04", b"later")  # another state
+            c.next()
+            c.prev()
+            assert c.value == b"4"
+            db.put(b"k04", b"4")
+            c.seek(b"z")
+            assert not c.valid
+            with pytest.raises(InvalidArgument):
+                c.next()
+    empty = Cursor(Database.open(spark, table + "2", create_if_missing=True))
+    empty.seek_to_first()
+    assert not empty.valid
+
+
+def test_options(spark, table):
+    db = Database.open(spark, table, create_if_missing=True, options=Options(auto_compaction=True, paranoid_checks=True, filter_policy=False))
+    for i in range(5):
+        db.put(b"k%d" % i, b"v")
+    assert len(db.state.at_level(0)) < 4 and db.compactions["done"] + db.compactions["moved"] > 0 and len(rows(db)) == 5
+    assert len(db.scan(verify_checksums=True).collect()) == 5 and len(db.multi_get([b"k1"], verify_checksums=True).collect()) == 1
+
+
+def test_unknown_edits_are_corruption(spark, table):
+    db = Database.open(spark, table, create_if_missing=True)
+    db.folder.create(f"_commits/{1:020d}.json", json.dumps({"last_sequence": 0, "added_columns": ["x"]}))
+    with pytest.raises(Corruption, match="added_columns"):
+        Database.open(spark, table)
+
+
+def test_compactions_can_be_cancelled(spark, table, monkeypatch):
+    import threading
+    import time
+
+    from tidelog.operators import compaction
+    from tidelog.schema import StoreIOError
+
+    db = Database.open(spark, table, create_if_missing=True)
+    for i in range(2):
+        db.put(b"k%d" % i, b"v")
+    plain = compaction.compact
+
+    def slow(*args, **kwargs):
+        wait = F.udf(lambda k: time.sleep(20) or k, "binary")
+        return plain(*args, **kwargs).withColumn("key", wait("key"))
+
+    monkeypatch.setattr(compaction, "compact", slow)
+    errors = []
+
+    def work():
+        try:
+            db.compact(full=True)
+        except StoreIOError as e:
+            errors.append(e)
+
+    t = threading.Thread(target=work)
+    began = time.time()
+    t.start()
+    while t.is_alive() and time.time() - began < 15:
+        time.sleep(1)
+        db.cancel_compactions()
+    t.join(30)
+    assert errors and time.time() - began < 18
+    monkeypatch.undo()
+    assert len(rows(db)) == 2 and db.compact(full=True) and len(rows(db)) == 2
+
+
+def test_read_pipeline(spark, tmp_path):
+    assert workloads.sst_read_pipeline(spark, f"{tmp_path}/p", 2, 50)["found"] == 100

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.asyncdb import AsyncDatabase
 from tidelog.batch import WriteBatch
 from tidelog.sources.events import bench_rows
 from tidelog.store import Database
@@ -45,6 +46,20 @@ def disk_read(spark: SparkSession, path: str, clients: int = 8, operations: int
     return {"read_s": read, "found": found}
 
 
+def sst_read_pipeline(spark: SparkSession, path: str, clients: int = 8, operations: int = 1000, value_bytes: int = 100, readers: int = 4) -> dict:
+    """Prefill, reopen, and look up every key with several lookups under way at once, one for each client's keys."""
+    rows = bench_rows(spark, clients, operations, value_bytes)
+    with Database.open(spark, path, create_if_missing=True, key_type="string") as db:
+        db.bulk_load(rows)
+    pipeline = AsyncDatabase(Database.open(spark, path), readers)
+    try:
+        own = [rows.where(F.startswith("key", F.lit(f"k_{c}_"))).select("key") for c in range(clients)]
+        read, found = _timed(lambda: sum(len(f.result()) for f in [pipeline.multi_get_async(keys) for keys in own]))
+    finally:
+        pipeline.close()
+    return {"read_s": read, "found": found}
+
+
 def durability_write(spark: SparkSession, path: str, commits: int = 5) -> dict:
     """Small commits one after another; each is durable when it returns."""
     times = []
