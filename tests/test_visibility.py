@@ -96,3 +96,41 @@ def test_neighbours(spark):
     log = spark.createDataFrame([(k, i + 1, 1, "v") for i, k in enumerate(keys)], SCHEMA)
     got = {r.key: (r.prev_key, r.next_key) for r in cursor.neighbours(log, prefix_bytes=2).collect()}
     assert got == {k: (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None) for i, k in enumerate(keys)}
+
+
+def test_neighbours_by_a_sample_of_keys(spark):
+    """All keys share a long prefix, so bytes don't spread them."""
+    keys = [f"common/prefix/{i:05d}" for i in range(700)]
+    log = spark.createDataFrame([(k, i + 1, 1, "v") for i, k in enumerate(keys)] + [("common/prefix/00007", 900, 0, None)], SCHEMA)
+    live = [k for k in keys if not k.endswith("00007")]
+    for slices in (1, 6, 5000):
+        got = {r.key: (r.prev_key, r.next_key) for r in cursor.neighbours(log, slices=slices).collect()}
+        assert got == {k: (live[i - 1] if i else None, live[i + 1] if i + 1 < len(live) else None) for i, k in enumerate(live)}
+    cuts = cursor.key_cuts(log.select("key"), 6)
+    sizes = [sum(a <= k < b for k in keys) for a, b in zip(["", *cuts], [*cuts, "~"])]
+    assert len(cuts) == 5 and max(sizes) < 3 * 700 / 6
+    assert cursor.neighbours(log.limit(0)).count() == 0
+
+
+def test_positions_beyond_many_dead_keys(spark, monkeypatch):
+    monkeypatch.setattr(cursor, "NEAR", 4)
+    rows = [(f"k{i:03d}", i + 1, 1, "v") for i in range(100)] + [(f"k{i:03d}", i + 200, 0, None) for i in range(100) if i not in (50, 60)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    one = lambda df: df.first().key
+    assert (one(cursor.seek_first(log)), one(cursor.seek_last(log)), one(cursor.next_after(log, "k050")), one(cursor.prev_before(log, "k060"))) == ("k050", "k060", "k060", "k050")
+    assert cursor.next_after(log, "k060").count() == 0 and cursor.seek(log, "zz").count() == 0
+    assert one(cursor.seek_first(log, 100)) == "k000"
+
+
+def test_as_of_and_diff_of_a_hot_key(spark):
+    """One key with most of the versions; answers as by the model."""
+    rng = random.Random(17)
+    rows = [(f"k{rng.choice([0, 0, 0, 0, 1, 2])}", q + 1, int(rng.random() < 0.7), f"v{q}") for q in range(400)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    probes = [(f"k{i % 4}", s) for i, s in enumerate(range(0, 420, 3))]
+    got = {(r.key, r.as_of): r.value for r in visibility.as_of_multi_get(log, spark.createDataFrame(probes + probes[:3], "key string, as_of bigint")).collect()}
+    assert got == {(k, s): model(rows, s).get(k) for k, s in probes}
+    for a, b in ((0, 400), (100, 300), (399, 400)):
+        before, after = model(rows, a), model(rows, b)
+        diff = {r.key: (r.old_value, r.new_value) for r in visibility.snapshot_diff(log, a, b).collect()}
+        assert diff == {k: (before.get(k), after.get(k)) for k in before.keys() | after.keys() if before.get(k) != after.get(k)}

@@ -7,23 +7,23 @@ at or above W the visible rows stay the same.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.schema import DELETE
+from tidelog.operators.visibility import latest
+from tidelog.schema import DELETE, InvalidArgument
 
 #: Deeper key ranges up to which the range join is worth broadcasting; beyond it keys are looked up by an equality join.
 RANGE_LIMIT = 10_000
 
 
-def mark_superseded(inputs: DataFrame, watermark: int) -> DataFrame:
-    """Adds ``drop_a``. ``lag`` runs over all inputs, dropped ones included."""
-    newer = F.lag("seq").over(Window.partitionBy("key").orderBy(F.col("seq").desc(), F.col("op").desc()))
-    return inputs.withColumn("_newer", newer).withColumn("drop_a", F.coalesce(F.col("_newer") <= watermark, F.lit(False))).drop("_newer")
-
-
 def rule_a(inputs: DataFrame, watermark: int) -> DataFrame:
-    return mark_superseded(inputs, watermark).where("NOT drop_a").drop("drop_a")
+    """The next newer version of a dropped one is not above W, so of a key's versions up to W the newest stays alone, and all above W stay.
+
+    The latter aren't shuffled; of the former each task sends one for a key, so a key with very many versions loads no task.
+    """
+    columns = inputs.columns
+    return inputs.where(F.col("seq") > watermark).unionByName(latest(inputs, watermark).select(*columns))
 
 
 def compact(inputs: DataFrame, watermark: int, deeper: DataFrame | None = None, deeper_keys: DataFrame | None = None, n_deeper: int | None = None) -> DataFrame:
@@ -31,12 +31,15 @@ def compact(inputs: DataFrame, watermark: int, deeper: DataFrame | None = None,
     keys, used instead where ``n_deeper`` ranges are too many to compare with each tombstone. Ranges keep more tombstones than keys do;
     what readers see is the same.
     """
-    marked = mark_superseded(inputs, watermark).where("NOT drop_a").drop("drop_a")
-    candidate = (F.col("op") == DELETE) & (F.col("seq") <= watermark)
+    above, below = inputs.where(F.col("seq") > watermark), latest(inputs, watermark).select(*inputs.columns)
+    rest, dead = above.unionByName(below.where(F.col("op") != DELETE)), below.where(F.col("op") == DELETE)
     if deeper is None and deeper_keys is None:
-        return marked.where(~candidate)
-    rest, dead = marked.where(~candidate), marked.where(candidate)
-    if deeper is not None and (deeper_keys is None or n_deeper is None or n_deeper <= RANGE_LIMIT):
+        return rest
+    if deeper is not None and n_deeper is None:
+        n_deeper = deeper.count()
+    if deeper is not None and n_deeper > RANGE_LIMIT and deeper_keys is None:
+        raise InvalidArgument(f"{n_deeper} deeper ranges are too many to compare with each tombstone; name their keys")
+    if deeper is not None and n_deeper <= RANGE_LIMIT:
         ranges = deeper.select(F.col("smallest").alias("_low"), F.col("largest").alias("_high"))
         kept = dead.join(ranges, (F.col("key") >= F.col("_low")) & (F.col("key") <= F.col("_high")), "left_semi")
     else:

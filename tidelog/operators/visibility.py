@@ -51,11 +51,20 @@ def multi_get(log: DataFrame, keys: DataFrame, sequence: int | None = None) -> D
 
 
 def as_of_multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """For each probe ``(key, as_of)``: the live version at its own sequence, ``key, as_of, seq, value`` (null where there is none)."""
-    probes = probes.select("key", "as_of").distinct()
-    newest = Window.partitionBy("key", "as_of").orderBy(F.col("seq").desc(), F.col("op").desc())
-    hits = probes.join(log, "key").where(F.col("seq") <= F.col("as_of")).withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").where(F.col("op") == PUT)
-    return probes.join(hits.select("key", "as_of", "seq", "value"), ["key", "as_of"], "left")
+    """For each probe ``(key, as_of)``: the live version at its own sequence, ``key, as_of, seq, value`` (null where there is none).
+
+    Probes and versions are put in one order, in which each probe takes the last version before it; so the rows are those of both, never
+    their product, and a task holds one version of a key at a time.
+    """
+    kinds = {f.name: f.dataType for f in log.schema.fields}
+    marks = probes.select("key", "as_of").distinct().select(F.col("key").cast(kinds["key"]).alias("key"), F.col("as_of").cast("bigint").alias("_at"), F.lit(True).alias("_probe"), F.lit(None).cast("tinyint").alias("_op"), F.lit(None).cast("struct<seq:bigint,op:tinyint>").alias("_v"), F.lit(None).cast(kinds["value"]).alias("_value"))
+    version = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("op").cast("tinyint").alias("op"))
+    versions = log.join(marks.select("key"), "key", "left_semi").select("key", F.col("seq").cast("bigint").alias("_at"), F.lit(False).alias("_probe"), F.col("op").cast("tinyint").alias("_op"), version.alias("_v"), F.col("value").alias("_value"))
+    before = Window.partitionBy("key").orderBy("_at", "_probe", "_op").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last(F.when(~F.col("_probe"), F.struct("_v", "_value")), ignorenulls=True).over(before)
+    answered = versions.unionByName(marks).withColumn("_seen", seen).where("_probe")
+    live = F.col("_seen._v.op") == PUT
+    return answered.select("key", F.col("_at").alias("as_of"), F.when(live, F.col("_seen._v.seq")).alias("seq"), F.when(live, F.col("_seen._value")).alias("value"))
 
 
 def raw_versions(log: DataFrame) -> DataFrame:
@@ -71,13 +80,12 @@ def version_history(log: DataFrame) -> DataFrame:
 def snapshot_diff(log: DataFrame, before: int, after: int) -> DataFrame:
     """Keys whose visible value differs between two sequences: ``key, change, old_value, new_value``.
 
-    One pass: the newest version of each key at either sequence, side by side, so the log is shuffled once.
+    One aggregation: the newest version of each key at either sequence, side by side. Tasks combine their versions before the shuffle, so a key with
+    many of them sends one row per task.
     """
-    by_key = Window.partitionBy("key")
-    old_seq, new_seq = (F.max(F.when(F.col("seq") <= s, F.col("seq"))).over(by_key) for s in (before, after))
-    marked = upto(log, max(before, after)).withColumn("_old", old_seq).withColumn("_new", new_seq).where((F.col("seq") == F.col("_old")) | (F.col("seq") == F.col("_new")))
-    pick = lambda at: F.max(F.when((F.col("seq") == F.col(at)) & (F.col("op") == PUT), F.struct("seq", "value")))
-    sides = marked.groupBy("key").agg(pick("_old").alias("old"), pick("_new").alias("new"))
+    newest = lambda s: F.max_by(F.struct("seq", "op", "value"), F.when(F.col("seq") <= s, F.struct("seq", "op")))
+    sides = upto(log, max(before, after)).groupBy("key").agg(newest(before).alias("old"), newest(after).alias("new"))
+    sides = sides.select("key", *[F.when(F.col(c)["op"] == PUT, F.col(c)).alias(c) for c in ("old", "new")])
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
     differs = (F.col("old").isNull() != F.col("new").isNull()) | (F.col("old.seq") != F.col("new.seq")) & ~F.col("old.value").eqNullSafe(F.col("new.value"))
     return sides.where(differs).select("key", change.alias("change"), F.col("old.value").alias("old_value"), F.col("new.value").alias("new_value"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidelog.batch import WriteBatch, append_frames, sequenced
 from tidelog.functions.scalar import escaped, leading_number, percentile_lower
+from tidelog.iterator import Cursor
 from tidelog.operators import compaction, cursor, files, visibility
 from tidelog.sources.events import bench_rows, events_log
+from tidelog.sources.shared import shared_dir
+from tidelog.store import Database
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,13 +164,13 @@ def snapshot_diff(spark, d):
 
 
 def _overlay(spark, d) -> DataFrame:
-    """A batch: a put on every tenth key of customers' names, then a delete of every hundredth, after the head."""
+    """Two batches joined to one, after the head: a put on every key that a tenth of the sequences names, then a delete of every hundredth."""
     log = _log(spark, d)
-    keys = log.where("seq % 10 = 0").select("key", "seq").groupBy("key").agg(F.min("seq").alias("s"))
-    head = 2 * _mid(spark, d) + 1
-    puts = keys.select("key", (F.col("s") + head).alias("seq"), F.lit(1).alias("op"), F.lit(0.5).alias("value"))
-    deletes = keys.where("s % 100 = 0").select("key", (F.col("s") + 2 * head).alias("seq"), F.lit(0).alias("op"), F.lit(None).cast("double").alias("value"))
-    return log.unionByName(puts).unionByName(deletes)
+    keys = log.where("seq % 10 = 0").groupBy("key").agg(F.min("seq").alias("s"))
+    puts = keys.select((F.col("s") - 1).alias("ord"), F.lit(1).alias("op"), "key", F.lit(0.5).alias("value"))
+    deletes = keys.where("s % 100 = 0").select((F.col("s") - 1).alias("ord"), F.lit(0).alias("op"), "key", F.lit(None).cast("double").alias("value"))
+    batch = sequenced(append_frames(puts, deletes), 2 * _mid(spark, d) + 2)
+    return log.unionByName(batch)
 
 
 _OVERLAY = """, keys AS (SELECT key, min(seq) AS s FROM l WHERE seq % 10 = 0 GROUP BY key),
@@ -179,7 +185,8 @@ def batch_apply(spark, d):
 
 @query("SELECT key, count(*) AS writes, CAST(max(seq) AS BIGINT) AS seq, max_by(value, seq) AS value FROM l WHERE op = 1 GROUP BY key HAVING count(*) > 1")
 def batch_same_key_last_wins(spark, d):
-    puts = _log(spark, d).where("op = 1")
+    batch = _log(spark, d).where("op = 1").select((F.col("seq") - 1).alias("ord"), "op", "key", "value")
+    puts = sequenced(batch, 1)
     writes = puts.groupBy("key").agg(F.count("*").alias("writes")).where("writes > 1")
     return visibility.visible(puts).join(writes, "key").select("key", "writes", "seq", "value")
 
@@ -220,21 +227,12 @@ def compact_partial(spark, d):
     return compaction.compact(inputs, mid, ranges)
 
 
-@query("SELECT s AS sequence, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained FROM (SELECT mid AS s FROM h UNION ALL SELECT 2 * mid + 1 FROM h)")
+@query("SELECT mid AS sequence, key, value FROM live_mid, h UNION ALL SELECT 2 * mid + 1, key, value FROM live, h")
 def compact_preserves_visible(spark, d):
     inputs, older, mid = _split(spark, d)
     after = compaction.compact(inputs, mid, deeper_keys=older.select("key").distinct()).unionByName(older)
-    out = None
-    for s in (mid, 2 * mid + 1):
-        one = compaction.preserves_visible(visibility.visible(_log(spark, d), s), visibility.visible(after, s)).select(F.lit(s).cast("bigint").alias("sequence"), "lost", "gained")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query(", s(seq) AS (VALUES (700), (300), (900)) SELECT CAST(coalesce((SELECT min(seq) FROM s), head) AS BIGINT) AS watermark, head FROM h")
-def gc_watermark(spark, d):
-    head = _log(spark, d).agg(F.max("seq").cast("bigint").alias("head"))
-    return head.select(F.lit(compaction.gc_watermark([700, 300, 900], 0)).cast("bigint").alias("watermark"), "head")
+    at = lambda s: visibility.visible(after, s).select(F.lit(s).cast("bigint").alias("sequence"), "key", "value")
+    return at(mid).unionByName(at(2 * mid + 1))
 
 
 # ---- files
@@ -335,19 +333,151 @@ def percentile_nearest_lower(spark, d):
     return percentile_lower(_log(spark, d), "value", [0.5, 0.95, 0.99, 0.0, 1.0])
 
 
-@query("SELECT o_orderkey AS key, CAST(1 AS BIGINT) AS version, o_totalprice AS value FROM orders WHERE o_orderkey % 50 = 7", with_log=False)
-def bulk_load_orders(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    loaded = orders.select(F.col("o_orderkey").alias("key"), F.lit(1).cast("bigint").alias("seq"), F.lit(1).alias("op"), F.col("o_totalprice").alias("value"))
-    return visibility.multi_get(loaded, orders.where("o_orderkey % 50 = 7").select(F.col("o_orderkey").alias("key"))).select("key", F.col("seq").alias("version"), "value")
-
-
-@query("SELECT DISTINCT key, key AS shown, CAST(regexp_extract(key, '^([0-9]+)', 1) AS BIGINT) AS number FROM l WHERE seq <= 200")
+@query("SELECT DISTINCT key, replace(key, '/', '\\x0a') AS shown, CAST(regexp_extract(key, '^([0-9]+)', 1) AS BIGINT) AS number FROM l")
 def escaped_keys(spark, d):
-    rows = _log(spark, d).where("seq <= 200").select("key").distinct()
-    return rows.select("key", escaped(F.col("key")).alias("shown"), leading_number(F.col("key")).cast("bigint").alias("number"))
+    """Every key, with a line feed for its slash, in printable form, and the number it starts with."""
+    rows = _log(spark, d).select("key").distinct()
+    return rows.select("key", escaped(F.translate("key", "/", "\n")).alias("shown"), leading_number(F.col("key")).cast("bigint").alias("number"))
 
 
 @query("SELECT 'k_' || c || '_' || i AS key, repeat('v', 8) AS value FROM range(4) a(c), range(250) b(i)", with_log=False)
 def bench_keys(spark, d):
     return bench_rows(spark, 4, 250, 8)
+
+
+# ---- the table itself
+
+
+def _table(spark: SparkSession, value: T.DataType | None = None) -> Database:
+    """A new table in the shared folder."""
+    return Database.open(spark, f"{shared_dir(spark)}/tidelog-tables/{uuid.uuid4().hex}", create_if_missing=True, key_type="string", value_type=value or T.DoubleType())
+
+
+def _batch(log: DataFrame, first: int) -> DataFrame:
+    """Versions as a batch whose first record would take sequence ``first``."""
+    return log.select((F.col("seq") - first).alias("ord"), "op", "key", "value")
+
+
+def _in_halves(spark, d):
+    """A table that took the log as two batches, and a snapshot from between."""
+    log, mid, db = _log(spark, d), _mid(spark, d), _table(spark)
+    db.write_frame(_batch(log.where(F.col("seq") <= mid), 1))
+    between = db.snapshot()
+    db.write_frame(_batch(log.where(F.col("seq") > mid), mid + 1))
+    return db, between, mid
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_totalprice AS value FROM orders", with_log=False)
+def bulk_load_orders(spark, d):
+    """All orders, range-partitioned by key, bulk-loaded into a table and scanned."""
+    db = _table(spark)
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").alias("value"))
+    db.bulk_load(orders.repartitionByRange(8, "key"))
+    return db.scan().select("key", "value")
+
+
+@query("SELECT * FROM live")
+def table_scan(spark, d):
+    return _in_halves(spark, d)[0].scan()
+
+
+@query("SELECT * FROM live_mid")
+def table_snapshot(spark, d):
+    """A snapshot's rows after another handle has overwritten keys, compacted everything and removed what it could."""
+    db, between, _ = _in_halves(spark, d)
+    other = Database.open(spark, db.path)
+    other.compact(full=True)
+    other.vacuum()
+    db.refresh()
+    return db.scan(between)
+
+
+@query("SELECT key, seq, op, value FROM newest WHERE op = 1")
+def table_compacted(spark, d):
+    """All versions that a full compaction leaves when no snapshot lives."""
+    db, between, _ = _in_halves(spark, d)
+    between.release()
+    db.compact(full=True)
+    db.vacuum()
+    return db.log().select("key", "seq", F.col("op").cast("int").alias("op"), "value")
+
+
+@query(_MARKED + "SELECT key, seq, op, value FROM a WHERE NOT (op = 0 AND seq <= mid)")
+def table_compacted_below_snapshot(spark, d):
+    """All versions that a full compaction leaves below and above a live snapshot."""
+    db, between, _ = _in_halves(spark, d)
+    db.compact(full=True)
+    between.release()
+    return db.log().select("key", "seq", F.col("op").cast("int").alias("op"), "value")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS live_snapshots, mid AS watermark FROM h UNION ALL SELECT 0, head FROM h")
+def gc_watermark(spark, d):
+    """What a compaction must keep, with a snapshot of another handle and after its release."""
+    db, between, _ = _in_halves(spark, d)
+    other = Database.open(spark, db.path)
+    rows = [(len(db.snapshots), other.watermark())]
+    between.release()
+    rows.append((len(db.snapshots), other.watermark()))
+    return spark.createDataFrame(rows, "live_snapshots bigint, watermark bigint")
+
+
+@query("SELECT * FROM live WHERE key IN (SELECT key FROM l WHERE seq % 10 = 3)")
+def table_multi_get(spark, d):
+    log = _log(spark, d)
+    return _in_halves(spark, d)[0].multi_get(log.where("seq % 10 = 3").select("key"))
+
+
+@query("SELECT key, seq, op, value FROM l, h WHERE seq > mid")
+def table_changes(spark, d):
+    db, between, mid = _in_halves(spark, d)
+    between.release()
+    return db.changes(mid).withColumn("op", F.col("op").cast("int"))
+
+
+_NATIONS = "WITH n AS (SELECT n_name AS key, n_regionkey * 1.0::DOUBLE AS value FROM nation WHERE n_regionkey <> 0) "
+
+
+def _nations(spark, d) -> Database:
+    """A table of nations, written by one batch that also deletes some of them."""
+    db, batch = _table(spark), WriteBatch()
+    nations = spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey").collect()  # 25 rows at every scale
+    for n in nations:
+        batch.put(n.n_name, float(n.n_regionkey) - 1)
+    for n in nations:
+        batch.put(n.n_name, float(n.n_regionkey))
+    again = WriteBatch()
+    for n in nations:
+        if n.n_regionkey == 0:
+            again.delete(n.n_name)
+    db.write(batch.append(again))
+    return db
+
+
+@query(_NATIONS + "SELECT * FROM n", with_log=False)
+def table_write_batch(spark, d):
+    return _nations(spark, d).scan().select("key", "value")
+
+
+@query(_NATIONS + """, f AS (SELECT key, value, row_number() OVER (ORDER BY key) AS i, count(*) OVER () AS c FROM n)
+ SELECT CAST(i - 1 AS BIGINT) AS step, key, value FROM f UNION ALL SELECT c - 1 + c - i, key, value FROM f WHERE i < c
+ UNION ALL SELECT 2 * c - 1, key, value FROM f WHERE i = (SELECT min(i) FROM f WHERE key >= 'NATION_2') UNION ALL SELECT 2 * c, key, value FROM f WHERE i = (SELECT min(i) - 1 FROM f WHERE key >= 'NATION_2')""", with_log=False)
+def table_cursor(spark, d):
+    """A cursor's way: from the first row to the last, back to the first, then to a key and one back."""
+    rows: list[tuple] = []
+    with Cursor(_nations(spark, d), page=7) as c:
+        at = lambda: rows.append((len(rows), c.key, c.value))
+        c.seek_to_first()
+        while c.valid:
+            at()
+            c.next()
+        c.seek_to_last()
+        c.prev()
+        while c.valid:
+            at()
+            c.prev()
+        c.seek("NATION_2")
+        at()
+        c.prev()
+        at()
+    return spark.createDataFrame(rows, "step bigint, key string, value double")
