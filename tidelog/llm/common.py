@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import shared_dir
+
 #: One block of documents is processed by one Python call; a block holds about so many bytes of input.
 BLOCK_BYTES = 8 << 20
 
@@ -68,15 +70,12 @@ def parts(df: DataFrame, bytes_each: int = BLOCK_BYTES, factor: float = 1.0) ->
     return min(1_000_000, max(least, math.ceil(input_bytes(df) * factor / bytes_each)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A default is set only where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        where = "file:///tmp/tidelog-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+def dealt(df: DataFrame, bytes_each: int, *columns: str, ranges: bool = False) -> DataFrame:
+    """Repartitioned by ``columns``: to as many partitions as hold ``df`` at ``bytes_each``; where that is fewer than the session's, Spark may join small ones.
+    By ``ranges`` rows with one value of the first column may fall into several partitions."""
+    n = parts(df, bytes_each)
+    by = df.repartitionByRange if ranges else df.repartition
+    return by(n, *columns) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else by(*columns)
 
 
 def _own_dir(spark: SparkSession) -> str:
