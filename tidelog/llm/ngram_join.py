@@ -433,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order, star = ("token", "pos", "n", "id"), "a bigint, b bigint, token bigint, pos int, n int"
     found = stored(dealt(groups.select(*order), GROUP_BYTES, *order, ranges=True).sortWithinPartitions(*order).mapInArrow(_stars(percent), star), "found")
     leaders = found.where("token is not null").select("token", "pos", "n", F.col("a").alias("id")).repartition("token").sortWithinPartitions(*order)
-    chiefs = leaders.mapInArrow(_chiefs(percent), "token bigint, pos int, n int, id bigint").toDF("token", "pos_a", "n_a", "a")
+    chiefs = stored(leaders.mapInArrow(_chiefs(percent), "token bigint, pos int, n int, id bigint").toDF("token", "pos_a", "n_a", "a"), "chiefs")  # few: its size is known before the join
     led = groups.join(chiefs, "token").where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) >= percent * (F.col("n") + F.col("n_a")))
     led = led.groupBy("token", "id").agg(F.min(F.struct("pos_a", "n_a", "a")).alias("first")).select(F.least("first.a", "id").alias("a"), F.greatest("first.a", "id").alias("b"))
     stars = stored(found.where("token is null").select("a", "b").unionByName(led).where("a <> b").distinct(), "stars")
