@@ -9,6 +9,7 @@ is computed. Passages start and end on bigrams of the template, so licences insi
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +42,13 @@ def templates() -> list[tuple[str, str]]:
             name = f"{short}-{version if '.' in version else version + '.0'}"
             out.append((name, f"This work is licensed under the {family}, version {version}."))
             out.append((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the {family} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."))
+    words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
     for clauses in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
-        for version in ("3.0", "4.0"):
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            spelled = "-".join(words[c] for c in clauses.split("-"))
+            kind = "International" if version == "4.0" else "Unported" if version == "3.0" else "Generic"
+            out.append((f"CC-{clauses}-{version}", f"This work is licensed under a Creative Commons {spelled} {version} {kind} License."))
+            out.append((f"CC-{clauses}-{version}", f"This work is licensed under the Creative Commons {spelled} {version} {kind} License. To view a copy of this license, visit http://creativecommons.org/licenses/{clauses.lower()}/{version}/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."))
             out.append((f"CC-{clauses}-{version}", f"Licensed under CC {clauses} {version}."))
     return out
 
@@ -80,38 +86,66 @@ class DiceScanner:
         for k, at in hits.items():
             if len(at) >= self.least[k]:
                 scored += self._best(words, k, at)
-        out: list[tuple[str, float, int, int]] = []
+        starts: list[int] = []  # of the passages chosen so far, sorted
+        chosen: dict[int, tuple[str, float, int, int]] = {}
         for score, start, end, name in sorted(scored, key=lambda s: (-s[0], s[1], -s[2], s[3])):
-            if all(end <= s or e <= start for _, _, s, e in out):
-                out.append((name, score, start, end))
-        return sorted(out, key=lambda s: s[2:])
+            i = bisect_left(starts, start)
+            if (i == 0 or chosen[starts[i - 1]][3] <= start) and (i == len(starts) or end <= starts[i]):
+                starts.insert(i, start)
+                chosen[start] = (name, score, start, end)
+        return [chosen[s] for s in starts]
 
     def _best(self, words: list[bytes], k: int, at: list[int]) -> list[tuple[float, int, int, str]]:
-        """The best passage from each start that reaches the threshold; of overlapping ones the best stays."""
+        """The best passage from each start that reaches the threshold; of overlapping ones the best stays.
+
+        A passage has at most ``most`` distinct bigrams, however often they repeat. One that holds its first bigram again is no better than the one that begins
+        at the next hit (which lacks, at most, bigrams that aren't the template's), so a start is followed up to the next place of its bigram only; this
+        keeps the steps in proportion to the text. In the end a passage takes in what stands right before it and is repeated in it.
+        """
         target, least, most = self.sets[k], self.least[k], self.most[k]
+        n = len(words) - 1
+        again: dict[int, int] = {}  # the next place of the bigram that begins at a hit
+        last: dict[tuple[bytes, bytes], int] = {}
+        for start in reversed(at):
+            b = (words[start], words[start + 1])
+            again[start] = last.get(b, n)
+            last[b] = start
         out: list[tuple[float, int, int, str]] = []
-        far = 0
+        inside: dict[tuple[bytes, bytes], int] = {}  # bigrams from the present start up to ``far``, the first place with too many distinct ones
+        far = low = 0
         for first, start in enumerate(at):
-            far = max(far, first)
-            while far + 1 < len(at) and at[far + 1] - start < 2 * most:  # repeated bigrams may stretch a passage
+            while low < start:
+                if low < far:
+                    b = (words[low], words[low + 1])
+                    inside[b] -= 1
+                    if not inside[b]:
+                        del inside[b]
+                low += 1
+            far = max(far, start)
+            while far < n and (len(inside) < most or (words[far], words[far + 1]) in inside):
+                b = (words[far], words[far + 1])
+                inside[b] = inside.get(b, 0) + 1
                 far += 1
-            if far - first + 1 < least:
+            stop = bisect_left(at, min(far, again[start]))
+            if stop - first < least:
                 continue
             seen: set[tuple[bytes, bytes]] = set()
             shared, best, upto = 0, (0.0, 0), start
-            for j in range(first, far + 1):
+            for j in range(first, stop):
                 while upto <= at[j]:
                     b = (words[upto], words[upto + 1])
                     if b not in seen:
                         seen.add(b)
                         shared += b in target
                     upto += 1
-                if len(seen) > most:
-                    break
                 score = 2 * shared / (len(seen) + len(target))
                 if score > best[0]:
                     best = score, upto
             if best[0] >= self.dice - 1e-12:
+                if start and (words[start - 1], words[start]) in target:
+                    own = target.intersection(zip(words[start : best[1]], words[start + 1 : best[1] + 1]))
+                    while start and (words[start - 1], words[start]) in own:
+                        start -= 1
                 one = (best[0], start, best[1] + 1, self.names[k])
                 if out and out[-1][2] > start:
                     if one[0] > out[-1][0]:
