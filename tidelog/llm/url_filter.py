@@ -13,9 +13,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Terms of the vocabulary.
-STRICT = ("porn", "porno", "xxx", "hentai", "milf", "camgirls", "escorts", "bdsm", "warez", "keygen", "torrents", "viagra", "cialis", "casino", "casinos", "sportsbook", "malware", "phishing", "payday-loans", "cheap-pills")
-SOFT = ("adult", "sex", "sexy", "nude", "dating", "singles", "bet", "betting", "poker", "slots", "jackpot", "lottery", "pills", "pharmacy", "loan", "loans", "crypto", "forex", "cheap", "free", "win", "prize", "bonus", "download", "crack", "serial", "hack", "replica", "cigarettes", "vape")
+# Terms of the vocabulary, by subject; one strict term rejects, soft ones count once each.
+STRICT = tuple("""
+    porn porno pornos xxx hentai milf camgirls camsex escorts bdsm blowjob cumshot gangbang creampie deepthroat upskirt nudes sexcam sexcams sexshop redtube youporn xhamster xvideos
+    hardcore-sex free-porn live-sex adult-video adult-cams putas pornos-gratis sexkontakte nacktbilder erotik-chat
+    casino casinos sportsbook online-casino slot-machines blackjack roulette baccarat onlinecasino spielcasino apuestas-deportivas
+    warez keygen keygens torrents cracked serialz nulled crackz full-crack
+    viagra cialis levitra kamagra tramadol xanax payday-loans cheap-pills buy-viagra online-pharmacy no-prescription
+    malware phishing ransomware spyware botnet carding cvv-shop fake-passport replica-watches
+""".split())
+SOFT = tuple("""
+    adult sex sexy nude naked erotic erotik erotica fetish lingerie webcam webcams hot-girls dating singles hookup flirt
+    bet bets betting poker slots jackpot lottery lotto bingo wager apuestas wetten paris-sportifs
+    pills pharmacy steroids weight-loss diet-pills
+    loan loans credit-repair crypto forex binary-options get-rich earn-money make-money work-from-home
+    cheap free win winner prize bonus giveaway
+    download downloads crack cracks serial hack hacks hacked cheats torrent proxy unblocked stream-free watch-online
+    replica fake counterfeit cigarettes vape tobacco ammo
+    gratis kostenlos gratuit
+""".split())
 #: The rules of the registered query, as (action, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SOFT_DISTINCT = 2
@@ -64,7 +80,7 @@ class Vocabulary:
 
 
 def url_verdicts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_distinct: int = SOFT_DISTINCT) -> DataFrame:
-    """Per row: id, ``host``, ``path``, ``rule``, ``verdict``, ``strict_terms``, ``soft_terms``.
+    """Per row: id, ``host``, ``path``, ``rule``, ``verdict``, ``strict_terms``, ``soft_terms``. A url of any length is read whole, in one pass.
 
     Terms are sought in lower-cased host and path. A fitting rule decides, the longest first; else one strict or
     ``soft_distinct`` distinct soft terms block. Null, empty and malformed urls have empty host and path, no terms, and are
