@@ -27,7 +27,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_scores(read(spark, sf_dir, "documents"))
+    return suffix_tree_scores(read(spark, sf_dir, "documents"), depth=3)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

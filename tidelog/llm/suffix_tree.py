@@ -1,9 +1,9 @@
 """A language model as a probabilistic suffix tree over words, learned and applied by blocks of documents.
 
-A node is a context of zero, one or two words with a distribution of the next token. The root is the add-one unigram
-distribution. A longer context is kept when its next-token counts diverge from its parent's distribution: when predicting each of its
-own occurrences from the others (leave one out, smoothed with the parent) gains more than ``MARGIN`` nats in all; contexts of two
-words are grown below kept ones only. A token is scored from the longest kept context before it; every node smooths its
+A node is a context of up to ``depth`` words with a distribution of the next token. The root is the add-one unigram
+distribution. A longer context is kept when its next-token counts diverge from its parent's distribution (that of the context without its first word): when predicting
+each of its own occurrences from the others (leave one out, smoothed with the parent) gains more than ``MARGIN`` nats in all; contexts are
+grown below kept ones only, an order at a time. A token is scored from the longest kept context before it; every node smooths its
 counts with its parent's probability, so each is a distribution.
 
 Documents are packed into blocks. Every block sends the distinct n-grams of its texts with its counts, cut by hash, to counting tasks,
@@ -15,8 +15,10 @@ overfill a counting task are spread over several by the next token; each adds up
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import input_bytes, mix64, stored, texts
+from tidelog.llm.common import input_bytes, mix64, released, stored, texts
 from tidelog.llm.wordhash import hashed
 
 BLOCK = 8 << 20
 #: Pseudo-counts of the parent's distribution, and nats that a context must gain.
-WEIGHT = (0.0, 4.0, 2.0)
+WEIGHT = (0.0, 4.0, 2.0, 1.0, 1.0, 1.0)
 MARGIN = 4.0
 #: Share of all tokens from which a word is broadcast.
 SHARE = 1 << 16
@@ -120,9 +122,9 @@ class Block:
 class Grams:
     """The n-grams of one order in a block, sorted by context and next token."""
 
-    def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None, pairs: np.ndarray | None = None, parent: np.ndarray | None = None):
-        """For order 2, ``pairs``: for each token the count of it and its predecessor, where that predecessor is frequent; ``parent``, where contexts are to be
-        tested: each token's probability below its predecessor (below the root it is its share)."""
+    def __init__(self, block: Block, order: int, top: Top, bits: int, allowed: np.ndarray | None = None, counts: np.ndarray | None = None, parent: np.ndarray | None = None):
+        """For orders above 1, ``counts``: for each token the count of it and the ``order`` - 1 words before it, where that is answered; ``parent``, where contexts are to be
+        tested: each token's probability below the shorter context (below the root it is its share)."""
         at = np.flatnonzero(block.place >= order if allowed is None else allowed & (block.place >= order))
         self.at = at
         shares = block.shares(top)
@@ -130,8 +132,7 @@ class Grams:
         if order == 1:
             share = np.where(shares[before] > 1 / SHARE, shares[before], 0.0)
         else:
-            earlier = block.back[at - 2]
-            share = pairs[at - 1] / top.total
+            share = counts[at - 1] / top.total
         spread = np.ceil(share * (4 << bits)).astype(np.uint64)  # a frequent context's tokens go to so many tasks
         self.hot = spread > 4
         hot = np.flatnonzero(self.hot)
@@ -139,7 +140,10 @@ class Grams:
         if order == 1:
             plain, which = block.keys, before
         else:
-            plain, which = np.unique(mix64(block.keys[earlier] ^ _PAIR) + block.keys[before], return_inverse=True)
+            context = block.token[at - order]
+            for k in range(order - 1, 0, -1):
+                context = mix64(context ^ _PAIR) + block.token[at - k]
+            plain, which = np.unique(context, return_inverse=True)
         plain_hot = plain[which[hot]]
         apart, which_hot = np.unique(mix64(plain_hot + block.token[at[hot]] % spread[hot] + np.uint64(1)), return_inverse=True)
         which = which.copy()
@@ -334,33 +338,55 @@ def _read(grams: Grams, answers: dict[int, bytes], frequent: np.ndarray) -> tupl
 
 
 def _by_kind(table: pa.Table) -> dict[int, dict[int, bytes]]:
-    out: dict[int, dict[int, bytes]] = {1: {}, 2: {}, 3: {}}
+    out: dict[int, dict[int, bytes]] = defaultdict(dict)
     for kind, part, raw in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "answer"))):
         out[kind][part] = raw
     return out
 
 
-def _below_kept(block: Block, grams: Grams, kept: np.ndarray) -> np.ndarray:
-    """Tokens whose one-word context is kept."""
-    allowed = np.zeros(len(block.token), bool)
-    allowed[grams.at] = kept[grams.of[grams.back]]
-    return allowed
-
-
-def _pair_counts(block: Block, grams: Grams, got: np.ndarray) -> np.ndarray:
-    """For each token the count of it and its predecessor, where answered: below kept or frequent predecessors."""
-    out = np.zeros(len(block.token))
-    out[grams.at] = got[grams.back]
-    return out
-
-
-def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
+class Descent:
+    """A block's way down the orders that have been answered: for each token the probability below its longest kept context so far."""
+
+    def __init__(self, block: Block, top: Top, bits: int, counts: np.ndarray, root: np.ndarray):
+        """``counts`` of each token, and its probability at the root."""
+        self.block, self.top, self.bits = block, top, bits
+        self.counts, self.p = counts, root.copy()
+        self.allowed: np.ndarray | None = None  # tokens whose next longer context may be kept
+        self.order = 0
+
+    def grams(self, parent: np.ndarray | None = None) -> Grams:
+        """Of the next order."""
+        return Grams(self.block, self.order + 1, self.top, self.bits, self.allowed, self.counts, parent)
+
+    def step(self, answers: dict[int, bytes], frequent: np.ndarray) -> None:
+        grams, weight = self.grams(), WEIGHT[self.order + 1]
+        kept, sums, got = _read(grams, answers, frequent)
+        of, got = grams.of[grams.back], got[grams.back]
+        # A spread context's own total is the count of its words, which the order before has answered.
+        total = np.where(grams.hot, self.counts[grams.at - 1], sums[of])
+        known = kept[of] & (total >= got)
+        at = grams.at[known]
+        self.p[at] = (got[known] + weight * self.p[at]) / (total[known] + weight)
+        self.counts, answered = np.zeros(len(self.p)), np.zeros(len(self.p), bool)
+        self.counts[grams.at], answered[grams.at] = got, kept[of]
+        self.allowed = np.zeros(len(self.p), bool)
+        self.allowed[at] = True
+        # A context that occurs less than twice can't be kept: its words, ending with the token before, have been counted.
+        rare = answered & (self.counts < 2)
+        self.allowed[1:] &= ~rare[:-1]
+        self.order += 1
+
+
+def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, depth: int = 2) -> DataFrame:
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10 probabilities of the text).
 
-    Learns from rows whose crc32 of the id, as text, is not ``held`` modulo ``fold``. Null and empty texts are one end token.
-    Rows without id are scored, never learned from, and have a null ``held_out``. Repeated rows count each. An empty table gives no rows; with nothing to
-    learn from every token has the probability of an unknown one. Extra columns are left out.
+    Contexts have up to ``depth`` words. Learns from rows whose crc32 of the id, as text, is not ``held`` modulo ``fold``. Null and empty texts are one end token; a very
+    long text is a block of its own and scored whole. Rows without id are scored, never learned from, and have a null ``held_out``. Repeated rows count each. An empty table gives no rows; with nothing to
+    learn from every token has the probability of an unknown one. Extra columns are left out. Words are told apart by 64 bits, of which counting tasks see 40 and more
+    of a context and 32 of the token after it, so one token in some billions may take another's count.
     """
+    if not 1 <= depth < len(WEIGHT):
+        raise ValueError(f"contexts have 1 to {len(WEIGHT) - 1} words")
     spark = docs.sparkSession
     bodies, _ = texts(docs, id_col, text_col)
     bits = max(0, min(20, math.ceil(math.log2(max(1, input_bytes(bodies) / (3 << 20))))))
@@ -368,38 +394,42 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     asked = blocks.mapInArrow(_ask_words(bits), "part int, block bigint, words binary, counts binary")
     words = stored(asked.groupBy("part").applyInArrow(_count_words(bits), _ANSWER), "words")
-    total, distinct, keys, counts = _frequent(words)
+    with released(spark):
+        total, distinct, keys, counts = _frequent(words)
     numbers = spark.sparkContext.broadcast((keys.tobytes(), counts.tobytes(), total, bits))
+    often: list = []  # for each order the frequent contexts that are kept, broadcast
+
+    def down(descent: Descent, answers: dict[int, dict[int, bytes]]) -> Descent:
+        for frequent in often:
+            descent.step(answers[descent.order + 2], np.frombuffer(frequent.value, np.uint64))
+        return descent
 
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = Top(*numbers.value)
+    def requests(row: dict, answers: dict[int, dict[int, bytes]]) -> list[tuple]:
+        top, b = Top(*numbers.value), Block(row)
+        shares = b.shares(top)[b.back]
+        descent = down(Descent(b, top, bits, np.rint(shares * top.total), shares), answers)
+        return list(descent.grams(descent.p).requests(b.name, bits))
+
+    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                yield from _request_table(list(Grams(b, 1, top, bits).requests(b.name, bits))).to_batches()
+                yield from _request_table(requests(row, {})).to_batches()
 
-    pairs = stored(blocks.mapInArrow(ask_pairs, _REQUEST).groupBy("part").applyInArrow(_count_grams(2), _ANSWER), "pairs")
-    often = spark.sparkContext.broadcast(_frequent_kept(pairs, 2).tobytes())
-    pairs = pairs.where("kind = 2")
+    def ask_next(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _request_table([r for row in left.to_pylist() for r in requests(row, _by_kind(right))])
 
-    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
-        top, rows = Top(*numbers.value), []
-        for row in left.to_pylist():
-            b = Block(row)
-            one = Grams(b, 1, top, bits)
-            kept, sums, got = _read(one, _by_kind(right)[2], np.frombuffer(often.value, np.uint64))
-            use, shares, pair_count = _below_kept(b, one, kept), b.shares(top)[b.back], _pair_counts(b, one, got)
-            # A frequent word's exact count is broadcast.
-            totals = np.ones(len(use))
-            totals[one.at] = np.where(one.hot, shares[one.at - 1] * top.total, sums[one.of[one.back]])
-            parent = np.where(use, (pair_count + WEIGHT[1] * shares) / (totals + WEIGHT[1]), 1.0)
-            rows += Grams(b, 2, top, bits, use, pair_count, parent).requests(b.name, bits)
-        return _request_table(rows)
-
-    triples = blocks.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_triples, _REQUEST)
-    triples = stored(triples.groupBy("part").applyInArrow(_count_grams(3), _ANSWER), "triples")
-    often_two = spark.sparkContext.broadcast(_frequent_kept(triples, 3).tobytes())
-    triples = triples.where("kind = 3")
+    tables: list[DataFrame] = []
+    for order in range(1, depth + 1):
+        kind = order + 1
+        if order == 1:
+            asked = blocks.mapInArrow(ask_first, _REQUEST)
+        else:
+            answers = functools.reduce(DataFrame.unionByName, tables)
+            asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_next, _REQUEST)
+        counted = stored(asked.groupBy("part").applyInArrow(_count_grams(kind), _ANSWER), f"order-{order}")
+        with released(spark):
+            often = [*often, spark.sparkContext.broadcast(_frequent_kept(counted, kind).tobytes())]
+        tables.append(counted.where(F.col("kind") == kind))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         top, out = Top(*numbers.value), []
@@ -408,23 +438,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             b = Block(row)
             count = np.concatenate([_unpack(answers[1][p], np.uint32) for p in sorted(answers[1])]).astype(np.float64)[b.back]
             base = (count + 1) / (total + distinct + 1)
-            one = Grams(b, 1, top, bits)
-            kept, sums, got = _read(one, answers[2], np.frombuffer(often.value, np.uint64))
-            p = base.copy()
-            context_count = np.zeros(len(base))
-            pair_count = _pair_counts(b, one, got)
-            context_count[one.at] = np.where(one.hot, count[one.at - 1], sums[one.of[one.back]])
-            use = _below_kept(b, one, kept)
-            p[use] = (pair_count[use] + WEIGHT[1] * base[use]) / (context_count[use] + WEIGHT[1])
-            two = Grams(b, 2, top, bits, use, pair_count)
-            kept2, sums2, got2 = _read(two, answers[3], np.frombuffer(often_two.value, np.uint64))
-            on = kept2[two.of[two.back]]
-            at = two.at[on]
-            # A spread context's own total is the count of its two words, which is answered for every frequent first word.
-            totals = np.where(two.hot[on], pair_count[at - 1], sums2[two.of[two.back]][on])
-            fine = totals >= got2[two.back][on]
-            at, totals, c2 = at[fine], totals[fine], got2[two.back][on][fine]
-            p[at] = (c2 + WEIGHT[2] * p[at]) / (totals + WEIGHT[2])
+            p = down(Descent(b, top, bits, count, base), answers).p
             docs_ = len(b.ids)
             out.append(pa.table([
                 pa.array(b.ids, pa.int64(), mask=~b.known), pa.array(~b.learn, pa.bool_(), mask=~b.known), pa.array(b.size, pa.int64()), pa.array(np.bincount(b.doc, count > 0, docs_).astype(np.int64)),
@@ -432,7 +446,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    answers = words.where("kind = 1").unionByName(pairs).unionByName(triples)
+    answers = functools.reduce(DataFrame.unionByName, [words.where("kind = 1"), *tables])
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
