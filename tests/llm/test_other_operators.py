@@ -145,3 +145,118 @@ def test_schedule_skips_far_blocks():
     pairs = embedding_dedup.schedule(boxes, 0.6)
     near = {(x, y) for x in range(40) for y in range(x, 40) if y - x <= 1} | {(x, y) for x in range(40, 43) for y in range(x, 43)}
     assert {(min(p), max(p)) for p in pairs} == near and len(pairs) == len(near)
+
+
+# ---- host-wide repeats
+
+
+def paged(spark, rows):
+    return spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, html string, host string")
+
+
+def plain_site(n, host="a.example"):
+    """Pages without any mark of what is boilerplate, some of them long; a notice and a menu line on all, a passage on few."""
+    notice = "this site belongs to the example group of sites and keeps all rights reserved"
+    menu = "home about news contact imprint privacy terms jobs press and so on"
+    passage = "one passage of ten words that two of the pages share"
+    pages = [f"<div>{menu}</div><div>{passage + ' ' if i < 2 else ''}page {i} tells its own story number {i * 7} {' '.join(f'w{i}x{k}' for k in range(40))} {notice}</div>" for i in range(n)]
+    own = [f"{passage + ' ' if i < 2 else ''}page {i} tells its own story number {i * 7} {' '.join(f'w{i}x{k}' for k in range(40))}" for i in range(n)]
+    return [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], own
+
+
+@pytest.mark.parametrize("host_bytes", [4 << 20, 4000, 1500])
+@pytest.mark.parametrize("tasks", [1, 16])
+def test_main_texts_do_not_depend_on_tasks_or_buckets(spark, monkeypatch, host_bytes, tasks):
+    monkeypatch.setattr(html_text, "parts", lambda *_: tasks)
+    rows, own = plain_site(40)
+    few = [(100 + i, f"http://few.example/{i}", p) for i, (_, _, p) in enumerate(rows[:3])]
+    got = {r.page_id: r for r in html_text.main_texts(paged(spark, rows + few), host_bytes=host_bytes).collect()}
+    assert [got[i].text for i in range(40)] == own
+    assert all(got[i].n_repeated == 14 + 12 for i in range(40))
+    assert [got[100 + i].n_repeated for i in range(3)] == [0, 0, 0]  # three pages tell nothing
+
+
+def test_repeats_decide_where_structure_does_not(spark):
+    """On real pages, their marks taken off, the suffix arrays find menus and footers that structure alone keeps; with the marks both agree."""
+    import re
+
+    rows = duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL ORDER BY page_id LIMIT 60").fetchall()
+    frame_ = "<div>{}</div><div>read more of what our writers say about things every day of the week here</div>"
+    bare = []
+    for i, h in rows:
+        article = re.search("(?s)<article>(.*)</article>", h)[1]
+        bare.append(f"<body><div>the daily example home news sport weather culture travel more sections</div>{article}{frame_.format('written by the staff of the daily example and friends of the house')}</body>")
+    with_, without = html_text.host_texts(bare), html_text.host_texts(bare, repeats=False)
+    wanted = html_text.host_texts([f"<article>{re.search('(?s)<article>(.*)</article>', h)[1]}</article>" for _, h in rows], repeats=False)
+    assert with_ == wanted and all(a != b for a, b in zip(with_, without))
+    marked = [h for _, h in rows]
+    assert html_text.host_texts(marked) == html_text.host_texts(marked, repeats=False) == wanted
+
+
+def test_window_counts_of_buckets_are_those_of_repeated():
+    rng = np.random.default_rng(8)
+    pages = ["<div>" + " ".join(rng.choice(list("abc"), 30)) + "</div><p>x y</p>" for _ in range(12)]
+    streams = html_text.Streams(pages)
+    at, names = streams.windows()
+    held = collections.defaultdict(set)
+    for place, name in zip(at, names):
+        held[name].add(streams.page[place])
+    counts = html_text._page_counts(streams)
+    assert [len(held[n]) for n in names] == counts[at].tolist()
+
+
+@pytest.mark.parametrize("text", ["<a ", "<a b='", "<a \">\" ", "</p", "<div>", "<p x=\"", "<!--", "<script>", "&amp", "<a b=c d", "x" * 5, "<span class=ad>"])
+def test_broken_pages_take_linear_time(text):
+    import time
+
+    page = text * ((1 << 20) // len(text))
+    began = time.perf_counter()
+    html_text.page_blocks(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_tag_ends():
+    texts = lambda p: html_text.host_texts([p])[0]
+    assert texts("<p title='a>b'>x</p>") == "x" and texts('<p title="quote>y</p>') == "y"
+    assert texts("<p>a < b</p><p>c <3 d</p>") == "a < b\n\nc <3 d"
+    assert texts("<p>x</p><p") == "x\n\n<p" and texts("<SCRIPT>var a='</p>'</SCRIPT><P>z</P>") == "z"
+    assert texts("<p>one<span class='ad'>buy</span>two</p>") == "one\n\ntwo"
+
+
+def test_blocks_are_skipped_in_clustered_data(spark):
+    """More than half of a label's block pairs are provably distant, no link is lost."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(scale=0.03, size=(3000, 24))
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, "24/a", 1, bytearray(u.tobytes())) for i, u in enumerate(unit)], "id bigint, label string, copies bigint, unit binary")
+    eps = float(np.sqrt(2 - 2 * 0.93)) + 1e-9
+    blocks, _ = embedding_dedup.blocked(classes, eps, 8, 64)
+    n = blocks.count()
+    pairs = embedding_dedup.block_pairs(blocks.drop("ids", "copies", "units", "part", "place"), eps, 8).count()
+    assert pairs < 0.5 * n * (n + 1) / 2
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_components(df, block=64).collect()}
+    links = unit @ unit.T >= 0.93
+    assert {i: v[0] for i, v in got.items()} == {i: int(links[i].sum()) - 1 for i in range(3000)}
+    assert len({v[1] for v in got.values()}) == len({c for c in brute_roots(links)})
+
+
+def brute_roots(links):
+    root = np.arange(len(links))
+    while True:
+        new = np.array([root[row].min() for row in links])
+        if (new == root).all():
+            return root.tolist()
+        root = new
+
+
+def test_interval_recursion_finds_what_the_list_does(spark):
+    rng = np.random.default_rng(9)
+    low = rng.uniform(0, 10, (150, 3))
+    boxes = [(i, "ab"[i // 90], low[i].tolist(), (low[i] + rng.uniform(0, 1, 3)).tolist()) for i in range(150)]
+    frame_ = spark.createDataFrame([(label, i, *a, *b) for i, label, a, b in boxes], "label string, number bigint, " + ", ".join(f"{e}{j} double" for e in ("low", "high") for j in range(3)))
+    got = {(r.x, r.y) for r in embedding_dedup.block_pairs(frame_, 1.5, 3).collect()}
+    assert got == {(min(p), max(p)) for p in embedding_dedup.schedule(boxes, 1.5)}
