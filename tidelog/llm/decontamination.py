@@ -86,7 +86,7 @@ def windows(items: list[tuple[int, bytes | None]], window: int) -> dict[tuple[by
 
 
 def _spans(docs: DataFrame, kind: str, items: list[tuple[int, bytes | None]], window: int, whole: bool) -> DataFrame:
-    """Per document: words, covered word ranges and items. Without ``whole`` only documents with hits."""
+    """Per document: words, covered word ranges and items, of documents with hits; with ``whole`` the finished rows of all documents, in the same Python call."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     along = whole and bool(kind)
 
@@ -113,7 +113,12 @@ def _spans(docs: DataFrame, kind: str, items: list[tuple[int, bytes | None]], wi
                     found.append([known[k][0] for k in sorted(hit)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), *(batch.columns[1:] if along else ())], ["id", "n_words", "starts", "ends", "items", *(batch.schema.names[1:] if along else ())])
 
-    return docs.mapInArrow(run, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>" + (f", body binary, carried {kind}" if along else ""))
+    if whole:
+        return docs.mapInArrow(lambda batches: _finish(run(batches)), _FINISHED + (f", body binary, carried {kind}" if kind else ""))
+    return docs.mapInArrow(run, "id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>")
+
+
+_FINISHED = "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean"
 
 
 def _digest(ids: list[int]) -> tuple[int, str]:
@@ -133,7 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (bodies, kind), (items, _) = texts(docs, id_col, text_col, carry), texts(benchmark, item_col, item_text)
     size = items.agg(F.coalesce(F.sum(F.length("body") + 64), F.lit(0))).first()[0]
     if size <= block_limit:
-        spans = _spans(bodies, kind, [(r.id, bytes(r.body) if r.body is not None else None) for r in items.collect()], window, True)
+        out = _spans(bodies, kind, [(r.id, bytes(r.body) if r.body is not None else None) for r in items.collect()], window, True)
     else:
         blocks = -(-2 * size // block_limit)
         kept = stored(items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "benchmark")
@@ -146,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = hits.groupBy(F.col("id").alias("row")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
         rows = keyed.mapInArrow(_counted, "id bigint, n_words bigint, row bigint" + (f", body binary, carried {kind}" if kind else ""))
         spans = rows.join(hits, "row", "left").select("id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<bigint>"))], *rows.columns[3:])
-    out = spans.mapInArrow(_finish, "id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, starts array<int>, ends array<int>, items_sha256 string, contaminated boolean" + (f", body binary, carried {kind}" if kind else ""))
+        out = spans.mapInArrow(_finish, _FINISHED + (f", body binary, carried {kind}" if kind else ""))
     return carried(out, carry, text_col).withColumnRenamed("id", id_col)
 
 
