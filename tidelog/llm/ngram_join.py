@@ -35,7 +35,7 @@ COUNTERS = 1 << 24
 STEPS, HOT = 6, 1 << 16
 _SEGMENT = 1 << 18
 #: Sets of one token that a task compares with as many others, where their components differ.
-CROSS_SETS = 4096
+CROSS_SETS = 512
 #: Bytes of groups, as stored, that a task pairs.
 GROUP_BYTES = 4 << 20
 #: Bits of a set's sketch, which rules out most pairs below the threshold before whole sets are fetched.
@@ -326,17 +326,6 @@ def _members(n: int, percent: int, orders: int, shared, wanted):
     return run
 
 
-def _of_bitmap(wanted):
-    """The rows whose place, in the last column, is set in a bitmap; without that column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.num_columns - 1
-            yield batch.filter(pa.array(held(wanted.value, np.asarray(batch.column(at))))).select(list(range(at)))
-
-    return run
-
-
 def _sharing(sides: list[tuple[np.ndarray, list[np.ndarray]]], reached: np.ndarray, orders: int) -> np.ndarray:
     """Which pairs share a shingle in reach in their prefixes under every order but the first; ``sides`` hold set sizes and prefixes. Shingles
     are told by four bytes, so few pairs too many pass, none too few."""
@@ -408,7 +397,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = parts(bodies)
     heads = bodies.mapInArrow(_prefixes(shingle, percent, shared), "token bigint, pos int, n int, cls binary, salt int")
     heads = heads.repartition(count, "token", "salt").sortWithinPartitions("token", "salt", "pos", "n", "cls")
-    crowded = stored(heads.mapInArrow(_crowded, "token bigint, pos int, n int, cls binary"), "crowded")
+    crowded = heads.mapInArrow(_crowded, "token bigint, pos int, n int, cls binary")
     groups = stored(crowded.join(classes, "cls").select("token", "pos", "n", F.col("lowest").alias("id")), "groups")
     placed = lambda bits: bodies.where(F.col("id").isNotNull()).select("id", "body", id_hash(F.col("id"), bits).alias("at"))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -420,8 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         side = lambda i, s: members.select(F.col("id").alias(i), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "heads", "sketch")])
         pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_possible(percent, orders), "a bigint, b bigint")
         pairs = stored(pairs.distinct(), "possible")
-        bitmap, bits = id_bits(ends(pairs))
-        sets = members.select("id", "members", id_hash(F.col("id"), bits).alias("at")).mapInArrow(_of_bitmap(bitmap), "id bigint, members binary")
+        sets = members.select("id", "members")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return stored(both.mapInArrow(_verified(percent), "a bigint, b bigint").distinct(), "links")
 
