@@ -117,7 +117,8 @@ def _placed(axes, eps: float, k: int):
 
 
 def _blocks(axes, size: int, k: int):
-    """Blocks of sorted vectors: of one label and at most ``size``, and of one cell where that leaves a quarter of it. ``part`` and ``place`` number them in order."""
+    """Blocks of sorted vectors: of one label and at most ``size``, sooner where the cell changes on one of the first four axes and a quarter of that is reached. ``part`` and
+    ``place`` number them in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,7 +143,7 @@ def _blocks(axes, size: int, k: int):
         for b in batches:
             cells = list(zip(*(b.column(f"c{j}").to_pylist() for j in range(k))))
             for cell, row in zip(cells, zip(*(b.column(c).to_pylist() for c in ("id", "label", "copies", "unit")))):
-                if held and (held[0][1] != row[1] or len(held) >= size or 4 * len(held) >= size and held[-1][4] != cell):
+                if held and (held[0][1] != row[1] or len(held) >= size or 4 * len(held) >= size and held[-1][4][:4] != cell[:4]):
                     yield block()
                     held.clear()
                 held.append((*row, cell))
