@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import input_bytes, mix64, released, stored, texts
 from tidelog.llm.wordhash import hashed
 
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Pseudo-counts of the parent's distribution, and nats that a context must gain.
 WEIGHT = (0.0, 4.0, 2.0, 1.0, 1.0, 1.0)
 MARGIN = 4.0
