@@ -630,3 +630,77 @@ def test_toxicity_ids_with_two_labels_count_once(spark):
     once = [(i, i % 2) for i in range(40)]
     one, both = (toxicity.fit_toxicity(docs, spark.createDataFrame(r, "doc_id bigint, toxic int")) for r in (once, once + [(i, 0) for i in range(40)]))
     assert one.bias == both.bias and (one.weights == both.weights).all()
+
+
+def test_very_long_texts(spark):
+    """Megabytes of text in one row: whole texts are read, in reasonable time."""
+    import sentencepiece as library
+    from tidelog.llm import url_filter
+
+    rng = random.Random(30)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["stinko"]
+    long = " ".join(rng.choice(vocabulary) for _ in range(200_000)) + " the very end"
+    unbroken = "ab" * 200_000
+    rows = [(1, long), (2, unbroken), (3, "short")]
+    model = library.SentencePieceProcessor(model_file=sentencepiece.model_path())
+    for r in sentencepiece.piece_tokens(frame(spark, rows)).collect():
+        assert list(r.ids) == model.encode(dict(rows)[r.doc_id])
+    scored = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(frame(spark, rows), depth=3).collect()}
+    assert scored[1].n_tokens == 200_004 and scored[2].n_tokens == 2 and all(r.score < 0 for r in scored.values())
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    fitted = toxicity.fit_toxicity(frame(spark, [(i, f"w{i} stinko" if i % 2 else f"w{i} calm") for i in range(40)]), marks, screen=2.0)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame(spark, [(1, "calm " * 300_000 + "x"), (2, long.replace("stinko", "w1") + " stinko" * 3)]), fitted).collect()}
+    assert got[1] == 0
+    urls = spark.createDataFrame([(1, "http://x.org/" + "a/" * 200_000 + "porn/x"), (2, "http://x.org/" + "porn" * 100_000)], "page_id bigint, url string")
+    assert {r.page_id: r.verdict for r in url_filter.url_verdicts(urls).collect()} == {1: "block", 2: "allow"}
+    kept = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame(spark, [(1, long), (2, "lead " + long)])).collect()}
+    assert (kept[1].n_removed, kept[2].n_removed, kept[2].kept) == (0, 200_003, "lead")
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4])
+def test_suffix_tree_of_other_depths(spark, depth):
+    """Scores as by the definition for any depth, and the probabilities of all tokens after a context sum to one."""
+    rng = random.Random(depth)
+    phrases = ["a b c d e f", "g b c d h i", "k c d l", "m n", "a b x", "c d e"]
+    rows = [(i, " ".join(rng.choice([*phrases, f"u{rng.randrange(40)}"]) for _ in range(10))) for i in range(150)]
+    tokens = {i: words(t) + [None] for i, t in rows}
+    counts = [collections.Counter() for _ in range(depth + 1)]
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for k in range(depth + 1):
+                counts[k].update(tuple(w[j : j + k + 1]) for j in range(len(w) - k))
+    n, v = sum(counts[0].values()), len(counts[0])
+    eighth = lambda p: 2 ** (-min(255, round(-8 * math.log2(p))) / 8)
+    share = lambda x: counts[0][x,] / n if counts[0][x,] else 1 / suffix_tree.SHARE
+    kept: list[dict] = [{}]  # for each order the kept contexts and their totals
+
+    def below(g, root, upto):
+        """The probability of the last token of ``g`` by the longest kept suffix of what is before it, of ``upto`` words at most."""
+        p = root(g[-1])
+        for k in range(1, upto + 1):
+            total = kept[k].get(g[-k - 1 : -1])
+            if total is None:
+                break
+            p = (counts[k][g[-k - 1 :]] + suffix_tree.WEIGHT[k] * p) / (total + suffix_tree.WEIGHT[k])
+        return p
+
+    for k in range(1, depth + 1):
+        inner, own = collections.defaultdict(dict), {}
+        for g, c in counts[k].items():
+            if k == 1 or g[1:-1] in kept[k - 1]:
+                inner[g[:-1]][g] = c
+        mu = suffix_tree.WEIGHT[k]
+        for context, items in inner.items():
+            total = sum(items.values())
+            if total > 1 and sum(c * math.log(((c - 1) / eighth(below(g, share, k - 1)) + mu) / (total - 1 + mu)) for g, c in items.items()) > suffix_tree.MARGIN:
+                own[context] = total
+        kept.append(own)
+    assert kept[depth]
+    base = lambda x: (counts[0][x,] + 1) / (n + v + 1)
+    got = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(frame(spark, rows), depth=depth).collect()}
+    for i, w in tokens.items():
+        score = sum(math.log10(below(tuple(w[max(0, j - depth) : j + 1]), base, min(j, depth))) for j in range(len(w)))
+        assert math.isclose(got[i].score, score, rel_tol=1e-9), i
+    for context in [c for own in kept[1:] for c in own][:40]:
+        everything = sum(below((*context, *x), base, len(context)) for x in [*counts[0], ("an unknown word",)])
+        assert math.isclose(everything, 1, rel_tol=1e-9)
