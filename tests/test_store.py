@@ -409,3 +409,13 @@ def test_compactions_can_be_cancelled(spark, table, monkeypatch):
 
 def test_read_pipeline(spark, tmp_path):
     assert workloads.sst_read_pipeline(spark, f"{tmp_path}/p", 2, 50)["found"] == 100
+
+
+def test_metrics_and_files_cut_by_the_level_beyond(spark, table):
+    db = Database.open(spark, table, create_if_missing=True, key_type="string", options=Options(max_file_size=1))
+    data = spark.range(200).select(F.format_string("k%05d", "id").alias("key"), F.lit(b"v").alias("value"))
+    db.bulk_load(data.coalesce(1))
+    assert db.compact(full=True) and len(db.state.at_level(1)) > 1
+    db.scan(low="k00001", high="k00002").count()
+    got = {r.name: r.value for r in db.metrics_rows().collect()}
+    assert got["commits"] == 1 and got["rows_written"] == 200 and got["files_pruned"] > 0 and got["bytes_compacted"] > 0

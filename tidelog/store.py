@@ -13,6 +13,7 @@ import logging
 import threading
 import time
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
@@ -65,6 +66,7 @@ class Database:
         self.key_type = T._parse_datatype_json_string(json.dumps(state.key_type))
         self.value_type = T._parse_datatype_json_string(state.value_type)
         self.schema = log_schema(self.key_type, self.value_type)
+        self.metrics: Counter[str] = Counter()  # of this handle, since it was opened
         self.compactions = {"done": 0, "moved": 0, "rows_in": 0, "rows_out": 0}
         self._held: dict[int, Pin] = {}  # marks of the snapshots made here
         self._unused: list[Pin] = []  # of snapshots that were dropped without release
@@ -197,7 +199,9 @@ class Database:
                 after = self.commits.commit(self.state, edit)
                 if after is not None:
                     self.state = after
+                    self.metrics.update({"commits": 1, "rows_written": sum(f.rows for f in found), "bytes_written": sum(f.size for f in found)})
                     break
+                self.metrics["lost_races"] += 1
                 temporary = name
                 self.refresh()
                 if stream is not None and self.state.streams.get(stream[0], -1) >= stream[1]:
@@ -250,6 +254,8 @@ class Database:
         """The versions a read needs: of files whose keys may meet ``[low, high]`` and whose sequences start in time."""
         state, sequence = self._seen(snapshot)
         chosen = picking.pruned(state.files.values() if files is None else files, sequence, key_hex(low) if low is not None else None, key_hex(high) if high is not None else None)
+        with self._lock:
+            self.metrics.update({"reads": 1, "files_read": len(chosen), "files_pruned": (len(state.files) if files is None else len(chosen)) - len(chosen)})
         if not chosen:
             return self.spark.createDataFrame([], self.schema)
         stored = T.StructType([*self.schema.fields, T.StructField("base", T.LongType())])
@@ -390,6 +396,10 @@ class Database:
         row = self.spark.createDataFrame([(self.state.commit, self.state.last_sequence, len(self.state.files), l0, self.snapshots.oldest(), *self.compactions.values())], "commit bigint, last_sequence bigint, files bigint, l0_files bigint, oldest_snapshot bigint, compactions bigint, moves bigint, rows_in bigint, rows_out bigint")
         return row.withColumn("stall", policy.stall_state(F.col("l0_files")))
 
+    def metrics_rows(self) -> DataFrame:
+        """``name, value``: commits, races lost, reads planned, files read and pruned, rows and bytes written and compacted by this handle."""
+        return self.spark.createDataFrame(sorted(self.metrics.items()), "name string, value bigint")
+
     def files(self) -> DataFrame:
         """Live files with their key ranges (keys as they are for string keys, else as bytes)."""
         rows = [(f.level, f.number, f.size, f.rows, f.smallest, f.largest, f.smallest_seq, f.largest_seq, f.path) for f in self.state.files.values()]
@@ -439,7 +449,10 @@ class Database:
             kwargs = {"deeper": ranges, "deeper_keys": self.log(files=deeper).select("key").distinct(), "n_deeper": len(deeper)}
         kept = gc.compact(inputs, watermark, **kwargs)
         size = sum(f.size for f in plan.inputs)
-        parts = max(1, -(-size // self.options.max_file_size))
+        low, high = min(f.smallest for f in plan.inputs), max(f.largest for f in plan.inputs)
+        beyond = sum(f.size for f in state.at_level(plan.target + 1) if f.largest >= low and f.smallest <= high)
+        # Enough files that none meets much more of the level beyond than a later compaction should take in.
+        parts = max(1, -(-size // self.options.max_file_size), -(-beyond // (policy.GRANDPARENT_FACTOR * self.options.max_file_size)))
         dealt = kept.repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("seq").desc())
         name = f"data/base=0/{uuid.uuid4().hex}"
         try:
@@ -458,6 +471,7 @@ class Database:
                     self.compactions["done"] += 1
                     self.compactions["rows_in"] += sum(f.rows for f in plan.inputs)
                     self.compactions["rows_out"] += sum(f.rows for f in found)
+                    self.metrics.update({"bytes_compacted": size, "bytes_written": sum(f.size for f in found)})
                     return True
                 self.refresh()
                 if any(f.path not in self.state.files for f in plan.inputs):
