@@ -97,6 +97,11 @@ def released(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
 
 
+#: For steps in a local (mounted) folder: no checksum files beside those of Parquet's own pages. Hadoop sets each such file's permissions by starting
+#: processes of the size of an executor, three for a file with its checksums, one without.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage is cut and the rows outlive lost executors.
 
@@ -106,7 +111,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with released(spark):
-        df.write.parquet(path)
+        df.write.options(**(_PLAIN if path.startswith("file:") else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
