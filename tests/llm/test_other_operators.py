@@ -176,6 +176,23 @@ def test_main_texts_do_not_depend_on_tasks_or_buckets(spark, monkeypatch, host_b
     assert [got[100 + i].n_repeated for i in range(3)] == [0, 0, 0]  # three pages tell nothing
 
 
+@pytest.mark.parametrize("host_bytes", [24_000, 9_000, 300])
+def test_main_texts_of_a_dealt_host_are_those_of_one_array(spark, host_bytes):
+    """Notice k, short or long, stands on k of 60 pages, so buckets that hold it once decide which notices reach a share."""
+    places = np.random.default_rng(5).permuted(np.tile(np.arange(60), (60, 1)), axis=1)
+    notices = [[f"n{k}x{j}" for j in range(10 if k % 2 else 3)] for k in range(61)]
+    on = [[k for k in range(1, 61) if i in places[k - 1, :k]] for i in range(60)]
+    page = lambda i: "".join(f"<p>{' '.join(notices[k])}{f' own{i}x{k}' if k % 4 == 1 else ''}</p>" for k in on[i])
+    sites = {"plain.example": [page(i) for i in range(60)], "article.example": [f"<article>{page(i)}</article>" for i in range(60)], "few.example": [page(i) for i in range(6)]}
+    rows = [(100 * n + i, f"http://{host}/{i}", p) for n, (host, pages) in enumerate(sites.items()) for i, p in enumerate(pages)]
+    got = {r.page_id: (r.text, r.n_repeated) for r in html_text.main_texts(paged(spark, rows), host_bytes=host_bytes).collect()}
+    for n, pages in enumerate(sites.values()):
+        assert [got[100 * n + i] for i in range(len(pages))] == list(zip(*html_text._cut(pages)))
+    left = lambda first: {k for r in range(first, first + 60) for k in range(1, 61) if notices[k][0] in got[r][0].split()}
+    assert left(0) == set(range(1, 18))  # 18 of 60 pages are three tenths
+    assert left(100) == set(range(1, 54)) | {57}  # 54 are nine tenths; a block with a word of its own stays
+
+
 def test_repeats_decide_where_structure_does_not(spark):
     """On real pages, their marks taken off, the suffix arrays find menus and footers that structure alone keeps; with the marks both agree."""
     import re

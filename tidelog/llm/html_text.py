@@ -8,8 +8,10 @@ tokens go and the unique runs stay; inside, only blocks that are covered whole,
 by the prior whether it repeats or not (adverts and readers' comments differ from page to page), and a host with few pages has the prior alone.
 
 A host larger than ``HOST_BYTES`` is dealt into buckets by a hash of the page's id. Each bucket has a suffix array; the page
-counts of its repeated substrings are added up over the host, and pages are then cut by the host's sums. Neither depends on
-how rows fall into tasks.
+counts of its repeated substrings are added up over the host, and pages are then cut by the host's sums. A substring that a bucket holds
+on one page alone isn't reported, so a sum is a lower bound and the buckets without report give an upper one; a substring whose bounds
+enclose a share that decides is counted once more on all pages. Counts are thus exact, and neither the size of the host nor how rows fall
+into tasks changes a text.
 """
 
 from __future__ import annotations
@@ -364,17 +366,23 @@ def _whole_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(ids, urls, *_cut(pages))
 
 
+_COUNTS = "host string, name bigint, pages bigint"
+
+
+def _count_rows(host: str, names: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(names), 100_000):
+        part = names[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(held[k : k + 100_000])], ["host", "name", "pages"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket of a large host: the substrings that two of its pages or more hold, and the number of those pages."""
-    for (host, _), _, _, pages in _groups(batches, ["host", "bucket"]):
+    """For each bucket of a large host: the substrings that ``least`` of its pages or more hold, and the number of those pages."""
+    for (host, _, least), _, _, pages in _groups(batches, ["host", "bucket", "least"]):
         streams = Streams(pages)
         at, names = streams.windows()
         held = _page_counts(streams)[at]
-        names, first = np.unique(names[held >= 2], return_index=True)
-        held = held[held >= 2][first]
-        for k in range(0, len(names), 100_000):
-            part = names[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(held[k : k + 100_000])], ["host", "name", "pages"])
+        names, first = np.unique(names[held >= least], return_index=True)
+        yield from _count_rows(host, names, held[held >= least][first])
 
 
 def _page_counts(streams: Streams) -> np.ndarray:
@@ -382,15 +390,30 @@ def _page_counts(streams: Streams) -> np.ndarray:
     return repeated(streams.tokens, streams.page, streams.block, spread=False)
 
 
+def _by_host(b: pa.RecordBatch) -> Iterator[tuple[str, list[int], Streams]]:
+    """The hosts in a batch, the rows of each, and the streams of their pages."""
+    pages, of_host = b.column("html").to_pylist(), {}
+    for i, host in enumerate(b.column("host").to_pylist()):
+        of_host.setdefault(host, []).append(i)
+    for host, own in of_host.items():
+        yield host, own, Streams([pages[i] or "" for i in own])
+
+
+def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each host in a batch: the substrings that are ``asked`` for, and the number of its pages there that hold them."""
+    for b in batches:
+        for host, own, streams in _by_host(b):
+            at, names = streams.windows()
+            hit = np.isin(names, np.asarray(b.column("asked")[own[0]].values).view(np.uint64))
+            held = np.unique(np.stack([names[hit], streams.page[at[hit]].astype(np.uint64)]), axis=1)[0]
+            yield from _count_rows(host, *np.unique(held, return_counts=True))
+
+
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts pages by their host's repeated substrings; the pages of one host in a batch together."""
     for b in batches:
-        pages, of_host = b.column("html").to_pylist(), {}
-        for i, host in enumerate(b.column("host").to_pylist()):
-            of_host.setdefault(host, []).append(i)
-        texts_, dropped = [""] * len(pages), [0] * len(pages)
-        for own in of_host.values():
-            streams = Streams([pages[i] or "" for i in own])
+        texts_, dropped = [""] * b.num_rows, [0] * b.num_rows
+        for _, own, streams in _by_host(b):
             at, names = streams.windows()
             ends = np.cumsum(streams.size)
             flags = []
@@ -412,14 +435,18 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty html give an empty text. Pages without host (null or malformed urls) are judged alone. Repeated rows count as pages of
     their own; equal pages and ties are cut alike. Extra columns are left out. Very long pages and broken markup take time linear in their length. A host of at most
-    ``host_bytes`` is judged by one suffix array in one task; a larger one in buckets of about that size (a substring counts in a bucket where two pages
-    hold it), and its repeats, in number at most the words of a page divided by ``OUTSIDE``, are joined to its pages.
+    ``host_bytes`` is judged by one suffix array in one task; a larger one in buckets of about that size, with the same page counts and texts. Its
+    repeats, in number at most the words of a page divided by ``OUTSIDE``, and at most twice as many that are counted once more, are joined to its pages.
+    Where pages are so long that buckets hold about six or fewer, every substring is reported, a row for each word.
     """
     small_batches(df.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
     rows = df.select(host.alias("host"), F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     sizes = rows.where("host <> ''").groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0)).cast("bigint") + 1).alias("bytes"), F.count("*").alias("pages"))
-    large = stored(sizes.where(F.col("bytes") > host_bytes).select(F.col("host").alias("large"), "pages", F.ceil(F.col("bytes") / host_bytes).alias("buckets")), "large-hosts")
+    outside, inside = (F.greatest(F.lit(LEAST_PAGES), F.col("pages") * share) for share in (OUTSIDE, INSIDE))
+    # What is reported in no bucket stands on ``least`` - 1 pages of each at most, which must not reach a share: with many buckets for few pages all is reported.
+    large = sizes.where(F.col("bytes") > host_bytes).select(F.col("host").alias("large"), "pages", F.ceil(F.col("bytes") / host_bytes).alias("buckets"))
+    large = stored(large.withColumn("least", F.when(2 * F.col("buckets") < outside, 2).otherwise(1)), "large-hosts")
     marked = rows.join(large, F.col("host") == F.col("large"), "left")
     small = marked.where("large is null").select("host", "id", "url", "html")
     count = parts(rows, 4 << 20)
@@ -427,11 +454,18 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     out = small.repartition(count, "host", alone).sortWithinPartitions("host", "id").mapInArrow(_whole_hosts, _OUT)
     if not large.isEmpty():
         of_large = marked.where("large is not null").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")))
-        counted = of_large.select("host", "bucket", "id", "url", "html").repartition(count, "host", "bucket").sortWithinPartitions("host", "bucket", "id").mapInArrow(_counted, "host string, name bigint, pages bigint")
-        sums = counted.groupBy("host", "name").agg(F.sum("pages").alias("held")).join(large, F.col("host") == F.col("large"))
-        sums = sums.where(F.col("held") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * OUTSIDE))
-        sets = sums.groupBy("host").agg(F.collect_list("name").alias("outside"), F.collect_list(F.when(F.col("held") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * INSIDE), F.col("name"))).alias("inside"))
-        sets = stored(sets.withColumnRenamed("host", "of"), "host-repeats")
+        counted = of_large.select("host", "bucket", "least", "id", "url", "html").repartition(count, "host", "bucket").sortWithinPartitions("host", "bucket", "id").mapInArrow(_counted, _COUNTS)
+        sums = counted.groupBy("host", "name").agg(F.sum("pages").alias("held"), F.count("*").alias("seen")).join(large, F.col("host") == F.col("large"))
+        sums = sums.withColumn("most", F.col("held") + (F.col("least") - 1) * (F.col("buckets") - F.col("seen"))).where(F.col("most") >= outside)
+        sums = stored(sums.select("host", "name", "held", "most", outside.alias("outside"), inside.alias("inside")), "host-sums")
+        unsure = [(F.col("held") < F.col(c)) & (F.col("most") >= F.col(c)) for c in ("outside", "inside")]
+        asked = stored(sums.where(unsure[0] | unsure[1]).groupBy(F.col("host").alias("of")).agg(F.collect_list("name").alias("asked")), "host-asked")
+        if not asked.isEmpty():
+            recounted = of_large.select("host", "html").join(asked, F.col("host") == F.col("of")).select("host", "html", "asked").mapInArrow(_recounted, _COUNTS)
+            exact = recounted.groupBy("host", "name").agg(F.sum("pages").alias("exact"))
+            sums = sums.join(exact, ["host", "name"], "left").withColumn("held", F.coalesce("exact", "held"))
+        names = [F.collect_list(F.when(F.col("held") >= F.col(c), F.col("name"))).alias(c) for c in ("outside", "inside")]
+        sets = stored(sums.groupBy(F.col("host").alias("of")).agg(*names), "host-repeats")
         cut = of_large.select("host", "id", "url", "html").join(sets, F.col("host") == F.col("of"), "left").select("host", "id", "url", "html", "outside", "inside").mapInArrow(_applied, _OUT)
         out = out.unionByName(cut)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
